@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source pipeline has no stream reader, watermark, time window or
+stateful operator, so nothing here is a streaming operator of its own.
+Every batch operator is a ``DataFrame -> DataFrame`` function and can be
+applied per micro-batch from ``writeStream.foreachBatch`` unchanged.
+"""
