@@ -81,19 +81,24 @@ def _sql_ref(col) -> str:
     raise TypeError("to_number takes a column name")
 
 
+P31 = 2147483647
+
+
 def arith_hash(id_col, seed: int) -> Column:
-    """Portable seeded hash ``pmod(id * 48271 + seed, 2147483647)``.
+    """Portable seeded hash ``pmod(pmod(id, P) * 48271 + seed, P)``, P = 2^31-1.
 
-    The same integer arithmetic runs in any SQL engine, so draws made with it
-    can be checked against an oracle (``xxhash64``/``rand`` cannot).
+    The same integer arithmetic runs in any SQL engine (all intermediates
+    stay below 2^48), so draws made with it can be checked against an
+    oracle; ``xxhash64``/``rand`` cannot.
     """
-    return F.pmod(c(id_col).cast("long") * F.lit(48271) + F.lit(seed), F.lit(2147483647))
+    inner = F.pmod(c(id_col).cast("long"), F.lit(P31))
+    return F.pmod(inner * F.lit(48271) + F.lit(seed), F.lit(P31))
 
 
 def unit_draw(id_col, seed: int, salt: int = 0) -> Column:
-    """A deterministic draw in [0, 1) from an integer id."""
-    h = arith_hash(c(id_col).cast("long") * F.lit(1000003) + F.lit(salt), seed)
-    return h.cast("double") / F.lit(2147483647.0)
+    """A deterministic draw in [0, 1) from an integer id (hash of hash)."""
+    h = arith_hash(arith_hash(id_col, seed) + F.lit(salt), seed)
+    return h.cast("double") / F.lit(float(P31))
 
 
 def isin_or_eq(col, values: Iterable) -> Column:

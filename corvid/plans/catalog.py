@@ -26,4 +26,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from corvid.plans import q_claims, q_model, q_quality, q_text  # noqa: F401
+    from corvid.plans import q_balance, q_claims, q_model, q_quality, q_text  # noqa: F401
