@@ -23,8 +23,22 @@ WHITESPACE = r"\s+"
 
 
 def default_stop_words(language: str = "english") -> list[str]:
-    from pyspark.ml.feature import StopWordsRemover
-    return list(StopWordsRemover.loadDefaultStopWords(language))
+    """Spark's bundled stop-word list.  Through the JVM when a session runs,
+    otherwise read from the MLlib jar shipped with pyspark (so SQL can be
+    generated without starting Spark)."""
+    from pyspark import SparkContext
+    if SparkContext._active_spark_context is not None:
+        from pyspark.ml.feature import StopWordsRemover
+        return list(StopWordsRemover.loadDefaultStopWords(language))
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    with zipfile.ZipFile(jars[0]) as z:
+        text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
+    return [w for w in text.split("\n") if w]
 
 
 def stop_words(extra: Iterable[str] = DOMAIN_STOP_WORDS, language: str = "english") -> list[str]:
