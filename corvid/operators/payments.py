@@ -151,14 +151,16 @@ def pivot_payments(spine: DataFrame, payment_feat: DataFrame,
     legal and grand totals and the three large-loss flags.
 
     The category values are passed explicitly, so no extra job lists them
-    and an absent category is a NULL column.  Sums run on integer cents
-    (exact, order independent); totals are computed from the same cents.
+    and an absent category is a NULL column.  The pivot is written as one
+    conditional sum per category: a single hash aggregate (``pivot()``
+    would add a second aggregation level and shuffle).  Its grouping keys
+    contain the join keys, so it reuses the join's partitioning.  Sums run
+    on integer cents (exact, order independent); totals use the same cents.
     """
     joined = spine.join(payment_feat, on=list(join_keys), how="right")
     cents = to_cents(amount_col)
-    piv = (joined.groupBy(*group_cols)
-           .pivot(CATEGORY_COL, list(categories))
-           .agg(F.sum(cents)))
+    piv = joined.groupBy(*group_cols).agg(
+        *[F.sum(F.when(F.col(CATEGORY_COL) == F.lit(k), cents)).alias(k) for k in categories])
     legal = [OUR_LEGAL, CLAIMANT_LEGAL]
     total_legal = _cents_total(legal)
     total = _cents_total([OUR_LEGAL, CLAIMANT_LEGAL, SPECIAL_DAMAGES, PSLA, OTHER_COSTS])
