@@ -12,6 +12,7 @@ from corvid.operators import matrix as mx
 from corvid.operators import notes as nt
 from corvid.plans import bindings as b
 from corvid.plans import text_flow as tf
+from corvid.sources import spread_for_cpu
 
 LABEL = "toxic"
 ID = "doc_id"
@@ -22,7 +23,7 @@ MATRIX_FEATURES = ("n_chars", "quality", "source", *TOKEN_FEATURES, *PHRASE_FEAT
 
 
 def labelled_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = b.table(spark, d, "documents")
+    docs = spread_for_cpu(b.table(spark, d, "documents").select(ID, "n_chars", "source", "text"))
     labels = b.table(spark, d, "labels")
     return labels.join(docs, ID).select(ID, "n_chars", "quality", "source", LABEL,
                                         nt.clean_text_expr("text").alias("text"))

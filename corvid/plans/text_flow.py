@@ -10,6 +10,7 @@ from corvid.operators import lexicon as lx
 from corvid.operators import notes as nt
 from corvid.operators import words as wd
 from corvid.plans import bindings as b
+from corvid.sources import spread_for_cpu
 
 # Boilerplate prefixes for the bound note tables (case-sensitive).
 EVENT_BOILERPLATE = ("View", "Purchase")
@@ -78,12 +79,13 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d)
+    docs = spread_for_cpu(documents(spark, d).select("doc_id", "text"))
     return docs.select("doc_id", nt.clean_text_expr("text").alias("text"))
 
 
 def word_count(spark: SparkSession, d: str, stop: bool) -> DataFrame:
-    return wd.word_count(documents(spark, d), "text", wd.stop_words() if stop else None)
+    docs = spread_for_cpu(documents(spark, d).select("text"))
+    return wd.word_count(docs, "text", wd.stop_words() if stop else None)
 
 
 def token_signals(spark: SparkSession, d: str, lexicon=TEST_TOKENS) -> DataFrame:

@@ -56,3 +56,18 @@ def latest_snapshot(df: DataFrame, load_col: str) -> DataFrame:
 def load_value_from_path(df: DataFrame, pattern: str, name: str = "load_date") -> DataFrame:
     """SC4 helper: derive the load folder name from each row's source file."""
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+
+
+def spread_for_cpu(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Before CPU-heavy per-row work (regexes over whole texts), make sure
+    the rows are spread over at least the cluster's parallelism.
+
+    Only when the scan yields fewer input splits than that (a few large,
+    unsplittable files) is a round-robin shuffle added; a normal large input
+    already arrives in many splits and is left untouched.  Planning the
+    splits lists files on the driver but runs no job.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
