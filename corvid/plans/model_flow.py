@@ -3,9 +3,11 @@ token signals + phrase flags -> numeric matrix -> folds -> learners."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.operators import balance as bl
 from corvid.operators import evaluate as ev
 from corvid.operators import lexicon as lx
 from corvid.operators import matrix as mx
@@ -63,8 +65,70 @@ def gnb_scores(spark: SparkSession, d: str) -> DataFrame:
     return ev.mean_scores(ev.fold_scores(ev.confusion(gnb_predictions(spark, d))))
 
 
-def model_scores(spark: SparkSession, d: str, parallel: int = 8) -> tuple[DataFrame, DataFrame]:
-    return ev.evaluate(fold_matrix(spark, d), parallel=parallel)
+# Continuous / categorical split of the matrix columns for mixed-type
+# oversampling, by name: counts and sizes are continuous, the 0/+-1 text
+# features are categorical.
+NC_CONTINUOUS = ("n_chars", "quality", "source")
+NC_CATEGORICAL = tuple(c for c in MATRIX_FEATURES if c not in NC_CONTINUOUS)
+SMOTE = {"k": 5, "ratio": 1.0, "seed": 11}
+SMOTE_NC = {"k": 5, "ratio": 0.2, "seed": 101}
+
+
+def _as_arrays(m: DataFrame) -> DataFrame:
+    return m.select(ID, F.array(*[F.col(c) for c in MATRIX_FEATURES]).alias("_x"), LABEL)
+
+
+def _balanced_folds(bal: DataFrame, k: int) -> DataFrame:
+    """Folds over a balanced set in its row order: originals by id, then the
+    synthetic rows by sample number (the order oversampling returns)."""
+    offset = bal.agg(F.max(ID)).first()[0] + 1
+    order = F.when(F.col("synthetic"), F.lit(offset) + F.col("sample")).otherwise(F.col(ID))
+    return ev.stratified_folds(bal.withColumn("_ord", order), LABEL, "_ord", k)
+
+
+def smote_fold_matrix(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """ML1 then WN5: the matrix oversampled 1:1 before folding (the source
+    flow; synthetic rows reach the test folds, Q28)."""
+    bal = bl.smote(_as_arrays(matrix(spark, d)), ID, "_x", LABEL, **SMOTE)
+    folded = _balanced_folds(bal, k)
+    return folded.select(array_to_vector("_x").alias("features"),
+                         F.col(LABEL).cast("double").alias("label"), "fold")
+
+
+def smotenc_fold_matrix(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """ML2 then WN5: mixed-type oversampling to minority/majority 0.2."""
+    bal = bl.smote_nc(matrix(spark, d), ID, NC_CONTINUOUS, NC_CATEGORICAL, LABEL, **SMOTE_NC)
+    folded = _balanced_folds(bal, k)
+    return mx.assemble(folded, MATRIX_FEATURES, LABEL, keep=["fold"])
+
+
+def smote_in_fold(k: int = 5, ratio: float = 1.0, seed: int = 11):
+    """Training-split transform: oversample only the k-1 training folds, so
+    no synthetic row is ever scored."""
+    def transform(train: DataFrame, fold: int) -> DataFrame:
+        arr = train.select("_id", vector_to_array("features").alias("_x"), "label")
+        bal = bl.smote(arr, "_id", "_x", "label", k, ratio, seed)
+        return bal.select(array_to_vector("_x").alias("features"), "label")
+    return transform
+
+
+def model_scores(spark: SparkSession, d: str, balance: str = "global", parallel: int = 8,
+                 chosen=None) -> tuple[DataFrame, DataFrame]:
+    """ML3-ML13: (long scores, score table) for a balancing mode:
+    ``global`` (oversample, then fold: the source flow), ``global_nc``
+    (mixed-type oversampling to 0.2, then fold), ``in_fold`` (fold, then
+    oversample each training split) or ``none``."""
+    if balance == "global":
+        return ev.evaluate(smote_fold_matrix(spark, d), chosen, parallel=parallel)
+    if balance == "global_nc":
+        return ev.evaluate(smotenc_fold_matrix(spark, d), chosen, parallel=parallel)
+    if balance == "in_fold":
+        data = fold_matrix(spark, d).withColumn("_id", F.col(ID))
+        return ev.evaluate(data, chosen, parallel=parallel,
+                           train_transform=smote_in_fold(**SMOTE))
+    if balance == "none":
+        return ev.evaluate(fold_matrix(spark, d), chosen, parallel=parallel)
+    raise ValueError(f"unknown balance mode {balance!r}")
 
 
 def class_sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -13,11 +13,8 @@ K = 5
 SMOTE_SEED = 11
 SMOTE_NC_SEED = 101
 SMOTE_NC_RATIO = 0.2
-# Continuous / categorical split of the matrix columns for mixed-type
-# oversampling, by name: counts and sizes are continuous, the 0/±1 text
-# features are categorical.
-NC_CONTINUOUS = ("n_chars", "quality", "source")
-NC_CATEGORICAL = tuple(c for c in mf.MATRIX_FEATURES if c not in NC_CONTINUOUS)
+NC_CONTINUOUS = mf.NC_CONTINUOUS
+NC_CATEGORICAL = mf.NC_CATEGORICAL
 
 
 def one_vs_rest(spark, d):

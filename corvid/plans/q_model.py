@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from corvid.operators import evaluate as ev
 from corvid.plans import model_flow as mf
 from corvid.plans import oracle_text as ot
 from corvid.plans import text_flow as tf
@@ -121,8 +120,13 @@ def gnb_scores(spark, d):
 
 @register("model_scores")
 def model_scores(spark, d):
-    """ML3-ML12 + AG16-AG19: the score table (metric x model, best model)."""
-    return mf.model_scores(spark, d)[1]
+    """ML1 + ML3-ML12 + AG16-AG19: matrix oversampled 1:1, 5-fold scores of
+    every learner, as the table (metric x model, best model)."""
+    return mf.model_scores(spark, d, balance="global")[1]
 
 
-__all__ = ["ev"]
+@register("model_scores_nc")
+def model_scores_nc(spark, d):
+    """ML2 + ML13: the same evaluation on the mixed-type oversampled set."""
+    return mf.model_scores(spark, d, balance="global_nc")[1]
+
