@@ -49,7 +49,43 @@ def smote_counts(spark, d):
     return bal.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("smote_rows")
+P = 2147483647
+SALT = 1
+
+
+def _hash(x: str) -> str:
+    """SQL twin of ``arith_hash``."""
+    return f"((({x}) % {P}) * 48271 + {SMOTE_SEED}) % {P}"
+
+
+SMOTE_ROWS_SQL = f"""
+WITH m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+                  row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings WHERE label = 0),
+cnt AS (SELECT (SELECT count(*) FROM m) AS n_min,
+               (SELECT count(*) FROM embeddings WHERE label <> 0) AS n_maj),
+par AS (SELECT n_min, n_maj - n_min AS need, least({K}, n_min - 1) AS kk FROM cnt),
+d AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(a.e, b.e) AS dist
+      FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+nn AS (SELECT id, nbr, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d),
+alloc AS (SELECT m.vec_id, m.r, m.e, par.n_min, par.kk,
+                 par.need // par.n_min + CASE WHEN m.r < par.need % par.n_min THEN 1 ELSE 0 END AS m_r
+          FROM m CROSS JOIN par),
+samples AS (SELECT vec_id, e, kk, r + n_min * t AS s
+            FROM alloc, LATERAL (SELECT unnest(range(m_r)) AS t)),
+draws AS (SELECT vec_id, e, s, {_hash('s')} % kk + 1 AS pick,
+                 CAST({_hash(_hash('s') + f' + {SALT}')} AS DOUBLE) / {float(P)} AS u FROM samples),
+synth AS (SELECT CAST(NULL AS BIGINT) AS vec_id,
+                 list_transform(range(1, len(dr.e) + 1), lambda i: dr.e[i] + dr.u * (nb.e[i] - dr.e[i]))
+                   AS embedding,
+                 1 AS y, true AS synthetic, CAST(dr.s AS BIGINT) AS sample
+          FROM draws dr JOIN nn ON nn.id = dr.vec_id AND nn.rank = dr.pick
+               JOIN m nb ON nb.vec_id = nn.nbr)
+SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, CAST(label = 0 AS INTEGER) AS y,
+       false AS synthetic, CAST(NULL AS BIGINT) AS sample FROM embeddings
+UNION ALL SELECT * FROM synth"""
+
+
+@register("smote_rows", SMOTE_ROWS_SQL)
 def smote_rows(spark, d):
     """ML1: the balanced rows themselves (originals + synthetic)."""
     return bl.smote(one_vs_rest(spark, d), "vec_id", "embedding", "y", K, 1.0, SMOTE_SEED)
