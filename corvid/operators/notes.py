@@ -16,6 +16,8 @@ NOTE_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # lower-casing) and the default text for a missing note.
 BOILERPLATE_PREFIXES = ("Blackboard", "Initial Utterance")
 MISSING_NOTE = "no note"
+# Characters kept by the text clean (regex class body).
+KEPT = "a-zA-Z0-9."
 
 
 def parse_note_time(df: DataFrame, col: str = "transaction_date",
@@ -91,11 +93,20 @@ def clean_text_expr(col: str, default: str = MISSING_NOTE) -> Column:
 
     The space is itself a replaced character, so "replace each, then
     collapse space runs" equals replacing each maximal run of replaced
-    characters by one space: one regex pass instead of two.  Lower-casing
-    stays last (some non-ASCII letters lower-case to ASCII ones).
+    characters by one space, i.e. the runs of kept characters joined by one
+    space, with one more space in front (behind) when the text starts (ends)
+    with a replaced character.  It is written that way because
+    ``regexp_extract_all`` scales with executor threads while
+    ``regexp_replace`` did not (measured: 8 threads slower than 1).
+    Lower-casing stays last (some non-ASCII letters lower-case to ASCII).
     """
     t = F.coalesce(F.col(col), F.lit(default))
-    return F.lower(F.regexp_replace(t, r"[^a-zA-Z0-9.]+", " "))
+    runs = F.regexp_extract_all(t, F.lit(f"[{KEPT}]+"), 0)
+    outside = f"[^{KEPT}]"
+    lead = F.when(F.substring(t, 1, 1).rlike(outside), F.lit(" ")).otherwise(F.lit(""))
+    trail = (F.when((F.size(runs) > 0) & F.substring(t, -1, 1).rlike(outside), F.lit(" "))
+             .otherwise(F.lit("")))
+    return F.lower(F.concat(lead, F.array_join(runs, " "), trail))
 
 
 def clean_text(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

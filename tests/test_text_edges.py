@@ -149,3 +149,16 @@ def test_lint_finds_unreachable_entries():
     assert "intra-articular fracture" in entries
     assert "Low expectation about return to work" in entries
     assert "lacerations" in entries   # listed twice in the exclude list
+
+
+def test_clean_text_property(spark):
+    import re as _re
+    rng = random.Random(5)
+    alphabet = ["a", "B", "z", "0", "9", ".", " ", "  ", "\n", "\t", "é", "ß", "!", ",", "İ", "😀", "K"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    texts += ["", " ", "!!!", "a", ".", " a ", "a\n", "\na"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r.i: r.c for r in df.select("i", nt.clean_text_expr("t").alias("c")).collect()}
+    for i, t in enumerate(texts):
+        want = _re.sub(" +", " ", _re.sub("[^a-zA-Z0-9.]", " ", t)).lower()
+        assert got[i] == want, repr(t)
