@@ -63,7 +63,10 @@ def word_count(df: DataFrame, col: str, stop: Iterable[str] | None = None) -> Da
     aggregate combined map-side, so a very common word is pre-counted in
     every partition before the shuffle.
     """
-    words = df.select(F.explode(split_words(col)).alias("word")).filter(F.col("word") != "")
+    # The non-blank runs are exactly the non-empty pieces of the whitespace
+    # split (FN6 + FL9); extracting them scales with executor threads where
+    # ``split`` did not.
+    words = df.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(r"\S+"), 0)).alias("word"))
     if stop is not None:
         words = words.filter(~F.lower(F.col("word")).isin(sorted(set(stop))))
     return words.groupBy("word").count().orderBy(F.desc("count"), F.asc("word"))
