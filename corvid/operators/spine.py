@@ -27,17 +27,23 @@ def project_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def attach(spine: DataFrame, other: DataFrame, on: Sequence[str], columns: Sequence[str],
-           how: str = "left", where: Column | None = None, distinct: bool = True) -> DataFrame:
+           how: str = "left", where: Column | None = None, distinct: bool = True,
+           inputs_distinct: bool = False) -> DataFrame:
     """JN1 / JN4: project the other side (optionally filtered first, so the
     filter reaches its scan), join on ``on`` and drop duplicate rows.
 
     A claim with several claimants fans out (one row per claimant); that is
     the intended result, reported by :func:`corvid.operators.quality.fanout_check`.
+
+    With ``inputs_distinct`` the caller vouches that both inputs (after the
+    projection) hold no duplicate rows.  Every output row then carries a
+    whole row of each side, so two output rows can only be equal if their
+    inputs were, and the final de-duplication (a shuffle) is skipped.
     """
     side = other if where is None else other.filter(where)
     side = side.select(*unique_names(list(on) + [c for c in columns if c not in on]))
     out = spine.join(side, on=list(on), how=how)
-    return out.distinct() if distinct else out
+    return out.distinct() if distinct and not inputs_distinct else out
 
 
 def one_row_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:

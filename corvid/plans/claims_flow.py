@@ -27,8 +27,10 @@ def claim_spine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spine_with_claimants(spark: SparkSession, d: str) -> DataFrame:
+    # The spine is de-duplicated and the claimant binding projects every
+    # column it carries before its own DISTINCT, so both inputs are distinct.
     return spine.attach(claim_spine(spark, d), b.claimants(spark, d), on=JOIN_KEYS,
-                        columns=b.CLAIMANT_COLUMNS, how="left")
+                        columns=b.CLAIMANT_COLUMNS, how="left", inputs_distinct=True)
 
 
 def injury_payments(spark: SparkSession, d: str, keep: str = "all") -> DataFrame:
