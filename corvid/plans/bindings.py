@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.operators.payments import CategoryRules, PaidFilter
+from corvid.sources import spread_for_cpu
 
 SOURCE_TAG = "tpch"
 
@@ -43,7 +44,9 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as payments; grouping/description from part, line of business
     from the order.  ``transaction_type`` is the line number as text with line 7
     made NULL, so the equals-or-NULL predicate has NULLs to keep."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread_for_cpu(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag",
+        "l_linestatus", "l_shipdate"))
     pt = table(spark, sf_dir, "part")
     od = table(spark, sf_dir, "orders")
     j = (li.join(pt, li.l_partkey == pt.p_partkey)
@@ -68,7 +71,8 @@ def claimants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (order, supplier) line attributes joined to the supplier and
     its region.  A pair with several lines can yield several claimant rows,
     so the spine join really fans out."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread_for_cpu(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"))
     su = table(spark, sf_dir, "supplier")
     na = table(spark, sf_dir, "nation")
     rg = table(spark, sf_dir, "region")
