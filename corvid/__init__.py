@@ -10,3 +10,15 @@ streaming  (the source pipeline is batch only; see its module docstring)
 """
 
 __version__ = "0.1.0"
+
+# Functions of this package that run inside Python workers (the pandas
+# functions of the exact phrase scan and of the k-NN block scorer) are
+# shipped by value, so executors need no copy of the package installed.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older pyspark without the hook
+    pass
