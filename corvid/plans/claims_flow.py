@@ -27,8 +27,8 @@ def claim_spine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spine_with_claimants(spark: SparkSession, d: str) -> DataFrame:
-    # The spine is de-duplicated and the claimant binding projects every
-    # column it carries before its own DISTINCT, so both inputs are distinct.
+    # The spine is de-duplicated and the claimant binding is distinct (its
+    # line columns are de-duplicated, the rest follows 1:1 from unique keys).
     return spine.attach(claim_spine(spark, d), b.claimants(spark, d), on=JOIN_KEYS,
                         columns=b.CLAIMANT_COLUMNS, how="left", inputs_distinct=True)
 
@@ -72,9 +72,11 @@ def closed_claim_paid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def third_party_spine(spark: SparkSession, d: str) -> DataFrame:
+    # Bound claims are unique by key (one order per key) and carry one total
+    # each; the claimant binding is distinct: no de-duplication needed.
     return spine.attach(closed_claim_paid(spark, d), b.claimants(spark, d), on=JOIN_KEYS,
                         columns=b.CLAIMANT_COLUMNS, how="left",
-                        where=F.col("claimant_type") == b.BINDING.third_party)
+                        where=F.col("claimant_type") == b.BINDING.third_party, inputs_distinct=True)
 
 
 RECODES = {"is_injured": "true", "is_vehicle_parked": "true", "can_vehicle_be_driven": "Yes"}
