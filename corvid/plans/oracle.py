@@ -25,7 +25,7 @@ PAYMENTS = """payments AS (
          l_returnflag AS section, l_linestatus AS clean_payment_status,
          NULLIF(CAST(l_linenumber AS VARCHAR), '7') AS transaction_type,
          p_type AS payment_grouping1, p_brand AS payment_desc, l_extendedprice AS payment_amount
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN orders ON l_orderkey = o_orderkey)"""
 
 CLAIMANTS = """claimants AS (
   SELECT DISTINCT l_orderkey AS claim_number, l_suppkey AS claimant_number, 'tpch' AS data_source,

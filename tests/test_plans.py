@@ -31,8 +31,10 @@ def test_flagship_pushes_filters_and_prunes(spark):
     plan = _plan(flow.injury_payments(spark, SF))
     assert "Window" not in plan
     assert "EqualTo(l_returnflag,R)" in plan   # the status filter follows (list is truncated)
-    # the latest-date side reads only the key and date columns
-    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_shipdate" in plan
+    # the latest-date side reads only the key and date columns, and its
+    # enrichment joins are eliminated (left joins under a max)
+    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_shipdate:timestamp_ntz>" in plan
+    assert plan.count("FileScan parquet") == 4
 
 
 def test_latest_flag_skewed_equals_window(spark):
