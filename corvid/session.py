@@ -42,7 +42,7 @@ def get_spark(master: str | None = None, app: str = "corvid",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
-    if not conf.get("spark.checkpoint.dir"):
+    if master and master.startswith("local") and not conf.get("spark.checkpoint.dir"):
         # Local runs only: a cluster names its shared folder in the conf.
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(
             prefix="corvid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -57,12 +57,15 @@ def get_spark(master: str | None = None, app: str = "corvid",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Register the checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when the setting is absent
-    (a bare local session in tests) is a private scratch folder created.
+    A cluster names a shared folder there.  Only a ``local`` master may fall
+    back to a private scratch folder; elsewhere executors could not read each
+    other's files, so a missing setting is an error.
     """
     sc = spark.sparkContext
     conf_dir = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="corvid-ckpt-",
                                     dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
