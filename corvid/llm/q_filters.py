@@ -1,2 +1,16 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of the filtering operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corvid.llm import toxicity
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.score_documents(docs, toxicity.train(docs, labels))
+
+
+QUERIES = {"op6_toxicity": op6_toxicity}
+ORACLE: dict[str, str] = {}
