@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import io
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,13 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` if every read gives the same partitions (a scan, narrow steps); else a checkpoint of it."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    wide = re.search(r"\b(Join|Aggregate|Repartition\w*|RebalancePartitions|Sort|Window|Distinct|Deduplicate|Sample|\w*Limit)\b", plan)
+    return docs.checkpoint() if wide else docs
+
+
 def crc_mod(id_column: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a NULL id counts as the empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "UTF-8")), F.lit(divisor))
@@ -259,7 +267,101 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:
     """Mask of the places covered by windows of ``width`` at ``starts``."""
-    step = np.zeros(size + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + width, -1)
+    step = np.bincount(starts, minlength=size + 1) - np.bincount(starts + width, minlength=size + 1)
     return np.cumsum(step)[:size] > 0
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_SLICE = 1 << 20
+_PRIME = 0x9E3779B97F4A7C15
+_PRIME_INVERSE = pow(_PRIME, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, number of words per text); words split at ASCII white space.
+
+    A word's hash is its bytes as a polynomial, taken from prefix sums, mixed
+    with its length; slices of about a megabyte keep the sums small.
+    """
+    buffer = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    blank = _BLANK[buffer]
+    edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    doc_ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+    sizes = np.diff(np.searchsorted(starts, doc_ends), prepend=0)
+    out, at = np.empty(len(starts), np.uint64), 0
+    up, down = _powers(_PRIME, _SLICE + 1), _powers(_PRIME_INVERSE, _SLICE + 1)
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + _SLICE, "right")))
+        n = int(ends[to - 1] - base)
+        p, q = (up, down) if n <= _SLICE else (_powers(_PRIME, n + 1), _powers(_PRIME_INVERSE, n + 1))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buffer[base:base + n].astype(np.uint64) + np.uint64(1)) * p[:n], dtype=np.uint64)))
+        s, e = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = to
+    return out, sizes
+
+
+class Keys:
+    """Distinct keys of a chunk, dealt to buckets; answers come back in the same order."""
+
+    def __init__(self, hashes: np.ndarray, buckets: int, bits: int):
+        bits = min(bits, 64 - max(1, (buckets - 1).bit_length()))
+        bucket, key = key_parts(hashes, buckets, bits)
+        self.low = np.uint64((1 << bits) - 1)
+        joined = (bucket.astype(np.uint64) << np.uint64(bits)) | key
+        self.keys, self.inverse, self.counts = np.unique(joined, return_inverse=True, return_counts=True)
+        self.buckets = np.unique(self.keys >> np.uint64(bits)).astype(np.int64)
+        at = self.buckets.astype(np.uint64) << np.uint64(bits)
+        self.edges = np.append(np.searchsorted(self.keys, at), len(self.keys))
+
+    def smallest(self, values: np.ndarray) -> np.ndarray:
+        """Per distinct key, the smallest of its values."""
+        out = np.full(len(self.keys), np.iinfo(np.int64).max)
+        np.minimum.at(out, self.inverse, values)
+        return out
+
+    def any(self, mask: np.ndarray) -> np.ndarray:
+        return np.bincount(self.inverse[mask], minlength=len(self.keys)) > 0
+
+    def bodies(self, **per_key: np.ndarray):
+        """(bucket, body) of each bucket that gets a key."""
+        for k, bucket in enumerate(self.buckets.tolist()):
+            a, b = self.edges[k], self.edges[k + 1]
+            yield bucket, pack(steps=deltas(self.keys[a:b] & self.low), **{n: v[a:b] for n, v in per_key.items()})
+
+    def answers(self, got: dict[int, bytes]) -> np.ndarray:
+        """One bit per distinct key."""
+        out = np.zeros(len(self.keys), bool)
+        for k, bucket in enumerate(self.buckets.tolist()):
+            a, b = self.edges[k], self.edges[k + 1]
+            answer = unpack(got[bucket])
+            if answer["n"][0] != b - a:
+                raise ValueError("the documents changed between two reads; write them to a table first")
+            out[a:b] = np.unpackbits(answer["bits"], count=b - a).astype(bool)
+        return out
+
+
+def together(bodies: list[bytes]) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
+    """(parts, order, group of each ordered key, size of each group) of the keys of one bucket."""
+    parts = [unpack(b) for b in bodies]
+    keys = np.concatenate([undeltas(p["steps"]) for p in parts])
+    order = np.argsort(keys, kind="stable")
+    start = runs(keys[order])
+    size = np.diff(np.append(start, len(keys)))
+    return parts, order, np.repeat(np.arange(len(start)), size), size
+
+
+def bit_answers(parts: list[dict], order: np.ndarray, ordered_bits: np.ndarray) -> list[bytes]:
+    back = np.empty(len(order), bool)
+    back[order] = ordered_bits
+    ends = np.cumsum([len(p["steps"]) for p in parts])
+    return [pack(n=np.array([len(p["steps"])]), bits=np.packbits(back[e - len(p["steps"]):e])) for p, e in zip(parts, ends)]

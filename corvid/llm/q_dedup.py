@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvid.llm.blocks import repeated_windows
 from corvid.llm.simhash import simhash_groups
+from corvid.llm.suffixes import repeated_strings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +17,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_documents(spark, sf_dir))
 
 
-QUERIES = {"op5_simhash_near_dedup": op5_simhash_near_dedup}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows(_documents(spark, sf_dir))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_simhash_near_dedup, op9_suffix_array_dedup)}
 ORACLE: dict[str, str] = {}
