@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -23,27 +24,83 @@ from pyspark.sql import functions as F
 
 from corvid.llm.common import numbered
 
-#: Words that a worker remembers the ids of.
-CACHE_WORDS = 300_000
+#: Word pieces, and words that are not plain, that a worker remembers the ids of.
+CACHE = 800_000
 
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+# Texts of these characters are cut here: their normal form is their lower case, and letter runs, single digits
+# and runs of other signs are the tokenizer's own pieces.  Words with any other character go to the tokenizer whole.
+_PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!\"#$%&()*+,\-./:;=?@\[\]^_`{}~\\\x20\x09-\x0D]*")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\x20\x09-\x0D]+")
 
 
-def word_ids(tokenizer, words: list[str], cache: dict[str, bytes]) -> None:
-    """Adds the ids (little-endian unsigned 32 bits) of unseen words to the cache."""
-    unseen = [w for w in dict.fromkeys(words) if w not in cache]
-    for at in range(0, len(unseen), 10_000):
-        part = unseen[at:at + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+_BLANK = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if printable, else one above 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+def cuts_like(tokenizer_path: str) -> bool:
+    """Does this tokenizer cut words as _PLAIN and _PIECE do?  (Lower case, letter runs, single digits, byte level.)"""
+    import json
+
+    from tokenizers import Tokenizer
+    with open(tokenizer_path) as f:
+        spec = json.load(f)
+    parts = json.dumps([spec.get(k) for k in ("normalizer", "pre_tokenizer")])
+    cut = Tokenizer.from_file(tokenizer_path).pre_tokenizer
+    return (all(x in parts for x in ("NFC", "Lowercase", "ByteLevel")) and "Metaspace" not in parts
+            and [p for p, _ in cut.pre_tokenize_str("ab12.,_c-d")] == ["ab", "1", "2", ".,_", "c", "-", "d"])
+
+
+class Encoder:
+    """Ids (little-endian unsigned 32 bits) of texts, remembering the ids of pieces."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tokenizer, self.fast = Tokenizer.from_file(path), cuts_like(path)
+        self.pieces: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+        self.letters = byte_letters()
+
+    def __call__(self, text: str) -> bytes:
+        if self.fast and _PLAIN.fullmatch(text):
+            return self.plain(text)
+        words = [w for w in _BLANK.split(text) if w]
+        odd = words if not self.fast else [w for w in words if not _PLAIN.fullmatch(w)]
+        if len(self.odd) > CACHE:
+            self.odd.clear()
+        unseen = [w for w in dict.fromkeys(odd) if w not in self.odd]
+        for at in range(0, len(unseen), 10_000):
+            part = unseen[at:at + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                self.odd[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return b"".join([self.odd[w] if w in self.odd else self.plain(w) for w in words])
+
+    def plain(self, text: str) -> bytes:
+        pieces, known = _PIECE.findall(text.lower()), self.pieces
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            pass
+        if len(known) > CACHE:
+            known.clear()
+        tokenize = self.tokenizer.model.tokenize
+        for p in set(pieces).difference(known):
+            seen = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
+            ids = [x.id for x in tokenize(seen)]
+            known[p] = struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(known.__getitem__, pieces))
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int, with_ids: bool) -> DataFrame:
     """(row, id, piece, start, length, crc[, ids]) of (row, id, text).
 
-    Words between ASCII white space are encoded once per worker and joined:
-    the tokenizer turns white space into token breaks, so a text's ids are its
-    words' ids in order.  A tokenizer that merges over spaces is not supported.
+    Pieces of words are encoded once per worker and joined: the tokenizer turns
+    white space into token breaks, so a text's ids are its words' ids in order.
+    A tokenizer that merges over spaces is not supported.
     """
     schema = "row long, id long, piece int, start long, length long, crc long" + ", ids binary" * with_ids
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
@@ -51,32 +108,21 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int, w
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        tokenizer, cache, end, step = Tokenizer.from_file(tokenizer_path), {}, np.array([end_id], "<u4").tobytes(), 4 * max_len
+        encode, end, step = Encoder(tokenizer_path), struct.pack("<I", end_id), 4 * max_len
         for batch in batches:
+            found = []
             for row, i, t in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
-                words = [w for w in _SPACE.split(t.as_py()) if w]
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                try:
-                    ids = b"".join(map(cache.__getitem__, words)) + end
-                except KeyError:
-                    word_ids(tokenizer, words, cache)
-                    ids = b"".join(map(cache.__getitem__, words)) + end
-                found = [(row, i, k, at // 4, len(p := ids[at:at + step]) // 4, zlib.crc32(p)) + ((p,) if with_ids else ())
-                         for k, at in enumerate(range(0, len(ids), step))]
-                pending.extend(found)
-                if len(pending) >= 10_000:
-                    yield flush()
-        if pending:
-            yield flush()
-
-    pending: list[tuple] = []
-
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pending), kinds)], names)
-        pending.clear()
-        return out
+                ids = encode(t.as_py()) + end
+                found += [(row, i, k, at // 4, len(p := ids[at:at + step]) // 4, zlib.crc32(p)) + ((p,) if with_ids else ())
+                          for k, at in enumerate(range(0, len(ids), step))]
+                if len(found) >= 10_000:
+                    yield table(found)
+                    found = []
+            if found:
+                yield table(found)
+
+    def table(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
     return docs.mapInArrow(run, schema)
 
