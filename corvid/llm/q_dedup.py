@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvid.llm.blocks import repeated_windows
+from corvid.llm.naming import exact_groups
 from corvid.llm.simhash import simhash_groups
 from corvid.llm.suffixes import repeated_strings
 
@@ -25,5 +26,16 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_simhash_near_dedup, op9_suffix_array_dedup)}
-ORACLE: dict[str, str] = {}
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_substring_dedup, op5_simhash_near_dedup, op9_suffix_array_dedup)}
+ORACLE = {"op1_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""}
