@@ -1,2 +1,82 @@
+"""Corpus pipeline: toxicity, exact dedup, SimHash near-dedup, benchmark decontamination, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that its
+predecessor kept and returns the rows of ``docs`` that stay, with their
+columns; the last returns one row per packed piece.  Rows are told apart by a
+row number, so NULL and repeated ids and repeated rows keep their own
+decisions; an empty table passes through as an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvid.llm import toxicity
+from corvid.llm.common import ROW, scratch, stable
+from corvid.llm.decontaminate import contaminated
+from corvid.llm.naming import exact_groups
+from corvid.llm.packing import pack_sequences
+from corvid.llm.q_packing import tokenizer_path
+from corvid.llm.simhash import simhash_groups
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return stable(docs).withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _only(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    return docs.join(rows.select(ROW), ROW, how).drop(ROW)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the tagger predicts toxic go."""
+    docs = _numbered(docs)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_documents(docs, model, row_col=ROW)
+    return _only(docs, scored.where("predicted = 1"), "left_anti")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (ASCII white space aside) the longest original stays."""
+    docs = _numbered(docs)
+    return _only(docs, exact_groups(docs, row_col=ROW).where(~F.col("kept")), "left_anti")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group the first row with the smallest id stays."""
+    docs = _numbered(docs)
+    groups = simhash_groups(docs, row_col=ROW).checkpoint()
+    first = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+             .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("nameless"))
+             .agg(F.min(ROW).alias(ROW)))
+    return _only(docs, first)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat a benchmark item go."""
+    docs = _numbered(docs)
+    hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row_col=ROW)
+    return _only(docs, hits, "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece, with its place in a sequence of at most 2048 tokens."""
+    return pack_sequences(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("simhash_near_dedup", near_stage),
+          ("benchmark_decontamination", decontamination_stage), ("best_fit_packing", packing_stage)]
+
+#: The tagger, the SimHash groups and the packing are beyond SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): return None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written as Parquet in the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,12 +15,13 @@ from __future__ import annotations
 import io
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Unique key of an input row; carried beside the caller's id column.
@@ -365,3 +366,11 @@ def bit_answers(parts: list[dict], order: np.ndarray, ordered_bits: np.ndarray)
     back[order] = ordered_bits
     ends = np.cumsum([len(p["steps"]) for p in parts])
     return [pack(n=np.array([len(p["steps"])]), bits=np.packbits(back[e - len(p["steps"]):e])) for p, e in zip(parts, ends)]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path under spark.checkpoint.dir, which the driver and all executors share."""
+    top = spark.sparkContext.getCheckpointDir()
+    if not top:
+        raise ValueError("set spark.checkpoint.dir")
+    return f"{top}/{name}-{uuid.uuid4()}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvid.llm import toxicity
+from corvid.llm.decontaminate import contaminated
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +13,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, labels))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return contaminated(docs, benchmark)
+
+
+QUERIES = {f.__name__: f for f in (op6_toxicity, op8_benchmark_decontamination)}
 ORACLE: dict[str, str] = {}
