@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 ROW = "__row"
 
 #: Bytes of text that a chunk gathers at most (one longer text is a chunk of its own).
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 #: Documents in a chunk at most.
 CHUNK_DOCS = 60_000
 #: Keys that a bucket gets on average.
-BUCKET_KEYS = 3_000_000
+BUCKET_KEYS = 1_000_000
 
 CHUNK_SCHEMA = "chunk long, body binary"
 EXCHANGE_SCHEMA = "bucket int, chunk long, body binary"

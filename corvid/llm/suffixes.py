@@ -26,7 +26,7 @@ from corvid.llm.common import (EXCHANGE_SCHEMA, Keys, bit_answers, buckets_for,
                                stable, text_bytes, together, undeltas, unpack)
 
 #: Bytes hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _FINAL = "row long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary"
 
