@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvid.llm import toxicity
 from corvid.llm.decontaminate import contaminated
+from corvid.llm.pii import find_pii
+
+
+def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +23,5 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(docs, benchmark)
 
 
-QUERIES = {f.__name__: f for f in (op6_toxicity, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_pii_boosting, op6_toxicity, op8_benchmark_decontamination)}
 ORACLE: dict[str, str] = {}
