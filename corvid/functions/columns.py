@@ -21,32 +21,27 @@ def equals_or_null(col, value) -> Column:
     return (col == F.lit(value)) | col.isNull()
 
 
-def to_cents(amount, scale: int = 2) -> Column:
-    """Money as an exact integer of the smallest unit (``scale`` decimals).
+def to_units(amount, scale: int = 6) -> Column:
+    """Money as an exact integer of 10^-scale.
 
-    Summing cents as ``long`` is exact and independent of summation order,
+    Summing integers as ``long`` is exact and independent of summation order,
     and stays a fixed-width codegen'd hash-aggregate buffer (a wide decimal
-    sum would fall back to ``BigDecimal``).
+    sum would fall back to ``BigDecimal``).  Nothing is rounded away: an amount
+    with more decimals than ``scale`` is an error.
     """
-    return F.round(c(amount) * F.lit(10 ** scale)).cast("long")
+    scaled = c(amount).cast("double") * F.lit(float(10 ** scale))
+    fits = F.abs(scaled - F.round(scaled)) <= F.lit(1e-6) + F.abs(scaled) * F.lit(1e-15)
+    return F.when(scaled.isNull() | fits, F.round(scaled).cast("long")).otherwise(
+        F.raise_error(F.format_string(f"amount %s has more than {scale} decimals", c(amount).cast("string"))).cast("long"))
 
 
-def cents_to_amount(cents, scale: int = 2) -> Column:
-    return c(cents).cast("double") / F.lit(10 ** scale)
+def units_to_amount(units, scale: int = 6) -> Column:
+    return c(units).cast("double") / F.lit(float(10 ** scale))
 
 
-def money_sum(amount, scale: int = 2) -> Column:
+def money_sum(amount, scale: int = 6) -> Column:
     """Exact, order-independent sum of a money column, as double."""
-    return cents_to_amount(F.sum(to_cents(amount, scale)), scale)
-
-
-def null_safe_total(cols: Sequence) -> Column:
-    """``coalesce(a,0) + coalesce(b,0) + ...`` (AG5 / FN1)."""
-    out = None
-    for x in cols:
-        term = F.coalesce(c(x), F.lit(0))
-        out = term if out is None else out + term
-    return out
+    return units_to_amount(F.sum(to_units(amount, scale)), scale)
 
 
 def gt_flag(col, threshold) -> Column:
@@ -81,24 +76,44 @@ def _sql_ref(col) -> str:
     raise TypeError("to_number takes a column name")
 
 
-P31 = 2147483647
+MASK32 = (1 << 32) - 1
+MIX = 73244475
+
+
+def seed_word(seed: int, salt: int = 0) -> int:
+    return (seed * 2654435769 + salt * 2246822519) & MASK32
 
 
-def arith_hash(id_col, seed: int) -> Column:
-    """Portable seeded hash ``pmod(pmod(id, P) * 48271 + seed, P)``, P = 2^31-1.
+def mix_hash(id_col, seed: int, salt: int = 0) -> Column:
+    """Portable seeded 32-bit hash: xor-shift and multiply, twice.
 
-    The same integer arithmetic runs in any SQL engine (all intermediates
-    stay below 2^48), so draws made with it can be checked against an
-    oracle; ``xxhash64``/``rand`` cannot.
+    All intermediates stay below 2^63, so any SQL engine computes the same
+    numbers and draws made with it can be checked against an oracle.  Draws of
+    different purposes take different salts.
     """
-    inner = F.pmod(c(id_col).cast("long"), F.lit(P31))
-    return F.pmod(inner * F.lit(48271) + F.lit(seed), F.lit(P31))
+    x = c(id_col).cast("long")
+    h = x.bitwiseXOR(F.shiftright(x, 32)).bitwiseXOR(F.lit(seed_word(seed, salt))).bitwiseAND(F.lit(MASK32))
+    for _ in range(2):
+        h = (h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(MIX)).bitwiseAND(F.lit(MASK32))
+    return h.bitwiseXOR(F.shiftright(h, 16))
+
+
+def mix_hash_sql(x: str, seed: int, salt: int = 0) -> str:
+    """The same number in DuckDB SQL."""
+    h = f"(xor(xor(CAST({x} AS BIGINT), CAST({x} AS BIGINT) >> 32), {seed_word(seed, salt)}) & {MASK32})"
+    for _ in range(2):
+        h = f"((xor({h}, {h} >> 16) * {MIX}) & {MASK32})"
+    return f"xor({h}, {h} >> 16)"
+
+
+def pick_draw(id_col, n: int, seed: int, salt: int = 0) -> Column:
+    """A draw from 1..n, from the high bits of the hash."""
+    return (F.shiftright(mix_hash(id_col, seed, salt) * F.lit(n), 32) + 1).cast("int")
 
 
-def unit_draw(id_col, seed: int, salt: int = 0) -> Column:
-    """A deterministic draw in [0, 1) from an integer id (hash of hash)."""
-    h = arith_hash(arith_hash(id_col, seed) + F.lit(salt), seed)
-    return h.cast("double") / F.lit(float(P31))
+def unit_draw(id_col, seed: int, salt: int = 1) -> Column:
+    """A draw in [0, 1)."""
+    return mix_hash(id_col, seed, salt).cast("double") / F.lit(float(1 << 32))
 
 
 def isin_or_eq(col, values: Iterable) -> Column:

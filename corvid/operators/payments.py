@@ -9,8 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.functions.columns import (between_open_flag, cents_to_amount, equals_or_null, gt_flag,
-                                      isin_or_eq, money_sum, to_cents)
+from corvid.functions.columns import (between_open_flag, units_to_amount, equals_or_null, gt_flag,
+                                      isin_or_eq, money_sum, to_units)
 
 # ---------------------------------------------------------------------------
 # The five payment categories, the derived totals, the three
@@ -155,23 +155,23 @@ def pivot_payments(spine: DataFrame, payment_feat: DataFrame,
     conditional sum per category: a single hash aggregate (``pivot()``
     would add a second aggregation level and shuffle).  Its grouping keys
     contain the join keys, so it reuses the join's partitioning.  Sums run
-    on integer cents (exact, order independent); totals use the same cents.
+    on integers (exact, order independent); totals use the same integers.
     """
     joined = spine.join(payment_feat, on=list(join_keys), how="right")
-    cents = to_cents(amount_col)
+    units = to_units(amount_col)
     piv = joined.groupBy(*group_cols).agg(
-        *[F.sum(F.when(F.col(CATEGORY_COL) == F.lit(k), cents)).alias(k) for k in categories])
+        *[F.sum(F.when(F.col(CATEGORY_COL) == F.lit(k), units)).alias(k) for k in categories])
     legal = [OUR_LEGAL, CLAIMANT_LEGAL]
-    total_legal = _cents_total(legal)
-    total = _cents_total([OUR_LEGAL, CLAIMANT_LEGAL, SPECIAL_DAMAGES, PSLA, OTHER_COSTS])
+    total_legal = _units_total(legal)
+    total = _units_total([OUR_LEGAL, CLAIMANT_LEGAL, SPECIAL_DAMAGES, PSLA, OTHER_COSTS])
     out = piv.select(*group_cols,
-                     *[cents_to_amount(F.col(k)).alias(k) for k in categories],
-                     cents_to_amount(total_legal).alias(TOTAL_LEGAL),
-                     cents_to_amount(total).alias(TOTAL_SPEND))
+                     *[units_to_amount(F.col(k)).alias(k) for k in categories],
+                     units_to_amount(total_legal).alias(TOTAL_LEGAL),
+                     units_to_amount(total).alias(TOTAL_SPEND))
     return add_loss_flags(out, TOTAL_SPEND)
 
 
-def _cents_total(cols: Sequence[str]) -> Column:
+def _units_total(cols: Sequence[str]) -> Column:
     out = None
     for k in cols:
         term = F.coalesce(F.col(k), F.lit(0).cast("long"))

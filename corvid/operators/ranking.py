@@ -1,10 +1,13 @@
-"""Exact dense ranks without a global sort in one task.
+"""Exact ranks within groups without a window over whole groups.
 
 ``row_number() over (partition by g order by o)`` sends a whole group (or,
-without ``g``, the whole table) through one task.  Here the order column is
-cut into quantile buckets first; each (group, bucket) is ranked by a window
-of bounded size and shifted by the row count of the earlier buckets of its
-group, read from a table of ``groups x buckets`` counts.
+without ``g``, the whole table) through one task.  Here all rows are range
+partitioned and sorted by (group, order), so a row's place in its partition
+is known from the sort; the rank is that place, less the first place of the
+group in the partition, plus the group's rows in earlier partitions.  The
+table of (partition, group) counts is the only thing windowed.  There is one
+code path at every size; ties on the first order column are split by the
+next ones.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,35 +25,30 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
                 name: str = "_rank", rows_per_bucket: int = ROWS_PER_BUCKET,
                 n_rows: int | None = None) -> DataFrame:
     """Add a 0-based rank of each row inside its group by ``order_cols``
-    (ascending; the columns must make the order total).
+    (ascending, NULL first, NaN last, as in a window; rows that tie on all of
+    them are ranked in any order, each once).
 
-    The first order column must be numeric: it is the one bucketed.
+    NULL groups are groups, and no row is lost or repeated.  The result is
+    checkpointed: ranks must not change when a lost executor's work is redone.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
     n = df.count() if n_rows is None else n_rows
-    buckets = max(1, math.ceil(n / rows_per_bucket))
-    if buckets == 1:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    lead = order_cols[0]
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(lead, probs, 1.0 / (4 * buckets))))
-    splits = [-math.inf] + cuts + [math.inf]
-    tmp = f"{name}_bucket"
-    staged = _bucketize(df, lead, splits, tmp)
-    counts = staged.groupBy(*group_cols, tmp).agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.partitionBy(*group_cols).orderBy(tmp).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, tmp, F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(*group_cols, tmp).orderBy(*order_cols)
-    ranked = staged.withColumn("_local", F.row_number().over(w) - 1)
-    on = [*group_cols, tmp]
-    out = ranked.join(offsets, on=on, how="inner")
-    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local", tmp)
-
-
-def _bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame:
-    """Bucket index by binary search over the cut points (JVM side)."""
-    tmp = f"{out}_in"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    staged = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
-    return staged.drop(tmp).withColumn(out, F.col(out).cast("int"))
+    parts = max(1, math.ceil(n / rows_per_bucket))
+    pid, place, first, before = (f"{name}_{x}" for x in ("pid", "place", "first", "before"))
+    number = F.monotonically_increasing_id()
+    staged = (df.repartitionByRange(parts, *group_cols, *order_cols)
+              .sortWithinPartitions(*group_cols, *order_cols)
+              .withColumn(place, number)
+              .withColumn(pid, F.shiftright(place, 33))
+              .withColumn(place, F.col(place).bitwiseAND(F.lit((1 << 33) - 1)))
+              .checkpoint())
+    counts = staged.groupBy(pid, *group_cols).agg(F.min(place).alias(first), F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group_cols).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(g).alias(f"{name}_g{i}") for i, g in enumerate(group_cols)]
+    offsets = counts.select(F.col(pid).alias(f"{pid}2"), *keys, first,
+                            F.coalesce(F.sum("_c").over(w), F.lit(0)).alias(before))
+    on = staged[pid] == offsets[f"{pid}2"]
+    for i, g in enumerate(group_cols):
+        on = on & staged[g].eqNullSafe(offsets[f"{name}_g{i}"])
+    rank = (F.col(place) - F.col(first) + F.col(before)).cast("long")
+    return staged.join(offsets, on).select(*[staged[c] for c in df.columns], rank.alias(name))

@@ -65,15 +65,16 @@ def motor_payments(spark: SparkSession, d: str) -> DataFrame:
 def closed_claim_paid(spark: SparkSession, d: str) -> DataFrame:
     closed = (b.claims(spark, d)
               .filter(F.col("lob").isin(list(b.BINDING.lobs)))
-              .filter(F.col("claim_status") == b.BINDING.closed_status))
+              .filter(F.col("claim_status") == b.BINDING.closed_status)
+              .distinct())
     totals = pay.sum_per_key(motor_payments(spark, d), "claim_number")
     out = pay.attach_totals(closed, totals)
     return pay.add_loss_flags(out, "total_paid")
 
 
 def third_party_spine(spark: SparkSession, d: str) -> DataFrame:
-    # Bound claims are unique by key (one order per key) and carry one total
-    # each; the claimant binding is distinct: no de-duplication needed.
+    # Closed claims are made distinct before their one total joins them, and
+    # the claimant binding is distinct: the join needs no de-duplication.
     return spine.attach(closed_claim_paid(spark, d), b.claimants(spark, d), on=JOIN_KEYS,
                         columns=b.CLAIMANT_COLUMNS, how="left",
                         where=F.col("claimant_type") == b.BINDING.third_party, inputs_distinct=True)

@@ -83,7 +83,7 @@ PIVOT_GROUP = ("data_source, claim_number, claimant_number, lob, claim_notificat
 
 def _cat_sum(cat: str) -> str:
     return (f"sum(CASE WHEN ft_payment_desc_category = '{cat}' "
-            f"THEN CAST(round(payment_amount * 100) AS BIGINT) END)")
+            f"THEN CAST(payment_amount AS DECIMAL(18, 6)) END)")
 
 
 def _pivot_sql() -> str:
@@ -91,7 +91,7 @@ def _pivot_sql() -> str:
     legal = ("coalesce(ft_case_pay_our_legal_spend, 0) + coalesce(ft_case_pay_claimant_legal_spend, 0)")
     total = (legal + " + coalesce(ft_case_pay_special_damages_spend, 0)"
              " + coalesce(ft_case_pay_psla_amount, 0) + coalesce(ft_case_pay_other_costs, 0)")
-    amounts = ",\n         ".join(f"CAST({k} AS DOUBLE) / 100 AS {k}" for k in CATEGORIES)
+    amounts = ",\n         ".join(f"CAST({k} AS DOUBLE) AS {k}" for k in CATEGORIES)
     return f"""joined AS (
   SELECT f.data_source, f.claim_number, f.claimant_number, f.lob, s.claim_notification_date,
          s.claim_status, f.section, f.clean_payment_status, f.transaction_type,
@@ -99,16 +99,16 @@ def _pivot_sql() -> str:
   FROM spine2 s RIGHT JOIN feat f
     ON s.claim_number = f.claim_number AND s.claimant_number = f.claimant_number
    AND s.lob = f.lob AND s.data_source = f.data_source),
-pivot_cents AS (
+pivot_sums AS (
   SELECT {PIVOT_GROUP},
          {cats}
   FROM joined GROUP BY {PIVOT_GROUP}),
 pivoted AS (
   SELECT {PIVOT_GROUP},
          {amounts},
-         CAST({legal} AS DOUBLE) / 100 AS ft_case_pay_total_legal_spend,
-         CAST({total} AS DOUBLE) / 100 AS ft_pay_total_spend
-  FROM pivot_cents),
+         CAST({legal} AS DOUBLE) AS ft_case_pay_total_legal_spend,
+         CAST({total} AS DOUBLE) AS ft_pay_total_spend
+  FROM pivot_sums),
 flagged AS (
   SELECT *, {flags("ft_pay_total_spend")} FROM pivoted)"""
 
@@ -139,12 +139,11 @@ PIVOT_OUT = [c.strip() for c in PIVOT_GROUP.split(",")] + list(CATEGORIES) + [
 CLOSED = f"""motor_pay AS (
   SELECT * FROM payments WHERE lob IN {LOBS} AND section = 'R' AND clean_payment_status = 'F'),
 paid AS (
-  SELECT claim_number, CAST(sum(CAST(round(payment_amount * 100) AS BIGINT)) AS DOUBLE) / 100
-         AS total_paid
+  SELECT claim_number, CAST(sum(CAST(payment_amount AS DECIMAL(18, 6))) AS DOUBLE) AS total_paid
   FROM motor_pay GROUP BY claim_number),
 closed AS (
   SELECT c.*, coalesce(p.total_paid, 0) AS total_paid, {flags('coalesce(p.total_paid, 0)')}
-  FROM claims c LEFT JOIN paid p ON c.claim_number = p.claim_number
+  FROM (SELECT DISTINCT * FROM claims) c LEFT JOIN paid p ON c.claim_number = p.claim_number
   WHERE c.lob IN {LOBS} AND c.claim_status = 'F')"""
 
 THIRD = f"""third AS (

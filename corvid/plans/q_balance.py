@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvid.functions.columns import mix_hash_sql
 from corvid.operators import balance as bl
 from corvid.plans import bindings as b
 from corvid.plans import model_flow as mf
@@ -49,21 +50,12 @@ def smote_counts(spark, d):
     return bal.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
-P = 2147483647
-SALT = 1
-
-
-def _hash(x: str) -> str:
-    """SQL twin of ``arith_hash``."""
-    return f"((({x}) % {P}) * 48271 + {SMOTE_SEED}) % {P}"
-
-
 SMOTE_ROWS_SQL = f"""
 WITH m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
                   row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings WHERE label = 0),
 cnt AS (SELECT (SELECT count(*) FROM m) AS n_min,
                (SELECT count(*) FROM embeddings WHERE label <> 0) AS n_maj),
-par AS (SELECT n_min, n_maj - n_min AS need, least({K}, n_min - 1) AS kk FROM cnt),
+par AS (SELECT n_min, n_maj - n_min AS need, {K} AS kk FROM cnt),
 d AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(a.e, b.e) AS dist
       FROM m a JOIN m b ON a.vec_id <> b.vec_id),
 nn AS (SELECT id, nbr, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d),
@@ -72,8 +64,8 @@ alloc AS (SELECT m.vec_id, m.r, m.e, par.n_min, par.kk,
           FROM m CROSS JOIN par),
 samples AS (SELECT vec_id, e, kk, r + n_min * t AS s
             FROM alloc, LATERAL (SELECT unnest(range(m_r)) AS t)),
-draws AS (SELECT vec_id, e, s, {_hash('s')} % kk + 1 AS pick,
-                 CAST({_hash(_hash('s') + f' + {SALT}')} AS DOUBLE) / {float(P)} AS u FROM samples),
+draws AS (SELECT vec_id, e, s, ((({mix_hash_sql('s', SMOTE_SEED)}) * kk) >> 32) + 1 AS pick,
+                 CAST({mix_hash_sql('s', SMOTE_SEED, 1)} AS DOUBLE) / {float(1 << 32)} AS u FROM samples),
 synth AS (SELECT CAST(NULL AS BIGINT) AS vec_id,
                  list_transform(range(1, len(dr.e) + 1), lambda i: dr.e[i] + dr.u * (nb.e[i] - dr.e[i]))
                    AS embedding,

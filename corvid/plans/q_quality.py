@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.functions.columns import arith_hash
+from corvid.functions.columns import mix_hash, mix_hash_sql
 from corvid.operators import quality
 from corvid.plans import bindings as b
 from corvid.plans import claims_flow as flow
@@ -86,9 +86,9 @@ def head_rows(spark, d):
 
 @register("sample_row", f"""
 SELECT doc_id, lang, source, n_chars FROM documents
-ORDER BY (CAST(doc_id AS BIGINT) * 48271 + {SAMPLE_SEED}) % 2147483647, doc_id LIMIT 1""")
+ORDER BY {mix_hash_sql('doc_id', SAMPLE_SEED)}, doc_id LIMIT 1""")
 def sample_row(spark, d):
     """SO5: one row drawn by a seeded portable hash."""
     docs = b.table(spark, d, "documents")
     return (docs.select("doc_id", "lang", "source", "n_chars")
-            .orderBy(arith_hash("doc_id", SAMPLE_SEED), "doc_id").limit(1))
+            .orderBy(mix_hash("doc_id", SAMPLE_SEED), "doc_id").limit(1))

@@ -152,3 +152,27 @@ def test_rank_within_buckets_agree(spark, per_bucket):
     for pairs in by_group.values():
         pairs.sort()
         assert [rk for _, rk in pairs] == list(range(len(pairs)))
+
+
+@pytest.mark.parametrize("per_bucket", [1, 7, 1_000_000])
+def test_rank_within_keeps_every_row(spark, per_bucket):
+    """NULL order and group, NaN, -0.0 and tied leads: as the plain window, nothing lost."""
+    from pyspark.sql import Window
+    values = [None, float("nan"), -0.0, 0.0, 1.0, 1.0, float("inf"), float("-inf"), None]
+    rows = [(i, ["a", None, "b"][i % 3], values[i % len(values)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, o double")
+    for groups in (["g"], []):
+        w = Window.partitionBy(*groups).orderBy("o", "id")
+        want = {r.id: r.rk for r in df.withColumn("rk", F.row_number().over(w) - 1).collect()}
+        got = rank_within(df, groups, ["o", "id"], rows_per_bucket=per_bucket).collect()
+        assert len(got) == 60 and {r.id: r._rank for r in got} == want
+    tied = rank_within(df, [], ["g"], rows_per_bucket=per_bucket).collect()
+    assert sorted(r._rank for r in tied) == list(range(60))
+
+
+def test_money_keeps_all_decimals(spark):
+    from corvid.functions.columns import money_sum
+    df = spark.createDataFrame([(0.004,)] * 1000 + [(None,)], "x double")
+    assert df.agg(money_sum("x")).first()[0] == 4.0
+    with pytest.raises(Exception, match="more than 2 decimals"):
+        df.agg(money_sum("x", 2)).first()
