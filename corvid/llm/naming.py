@@ -98,13 +98,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = identities(rows.select("row", plain.cast("binary").alias("body")), block)
     all_ = base.join(names, "row").checkpoint()
     group = ["levels", "name"]
-    # The row that stays, by successive grouped extrema: sizes, then ids, then row keys, all fixed-width buffers.
-    size = all_.groupBy(*group).agg(F.max("size").alias("size"), F.count("*").alias("group_size"))
-    largest = all_.join(size, [*group, "size"], "left_semi")
-    least = largest.groupBy(*group).agg(F.min("id").alias("keep_id"))
-    first = (largest.join(least, group).where(F.col("id").eqNullSafe(F.col("keep_id")))
-             .groupBy(*group).agg(F.min("row").alias("first"), F.min("keep_id").alias("keep_id")))
-    of = size.drop("size").join(first, group)
+    # The row that stays, combined before the shuffle.  Its table is written, so that a large group's join back can be split.
+    best = F.min(F.struct(-F.col("size"), F.col("id").isNull().alias("unnamed"), "id", "row"))
+    of = (all_.groupBy(*group).agg(F.count("*").alias("group_size"), best.alias("best"))
+          .select(*group, "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("first")).checkpoint())
     keep = [F.col("row").alias(row_col)] if row_col else []
     return all_.join(of, group).select(*keep, F.col("id").alias(id_col), "keep_id", "group_size",
                                        (F.col("row") == F.col("first")).alias("kept"), "text_sha256")
