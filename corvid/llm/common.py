@@ -31,8 +31,10 @@ ROW = "__row"
 CHUNK_BYTES = 4 << 20
 #: Documents in a chunk at most.
 CHUNK_DOCS = 60_000
+#: Rows of an Arrow batch that holds texts.
+BATCH_ROWS = 1_000
 #: Keys that a bucket gets on average.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 400_000
 
 CHUNK_SCHEMA = "chunk long, body binary"
 EXCHANGE_SCHEMA = "bucket int, chunk long, body binary"
@@ -43,8 +45,10 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(row, id, text) of ``docs``; NULL text is empty, other columns are dropped.
 
     The row key numbers the rows of the scan.  ``row_col`` names a unique
-    long column to use instead.
+    long column to use instead.  Texts can be long, so Arrow batches are set to
+    fewer rows than Spark's default for this session.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     key = F.monotonically_increasing_id() if row_col is None else docs[row_col]
     return docs.select(key.cast("long").alias("row"), docs[id_col].cast("long").alias("id"),
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
@@ -62,16 +66,27 @@ def crc_mod(id_column: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "UTF-8")), F.lit(divisor))
 
 
-def pack(**arrays: np.ndarray) -> bytes:
+def pack(level: int = 1, **arrays: np.ndarray) -> bytes:
     """Named arrays as one compressed value."""
     out = io.BytesIO()
     for name, a in arrays.items():
         a = np.ascontiguousarray(a)
-        head = f"{name}:{a.dtype.str}:{a.size}\n".encode()
-        # Planes of equal-weight bytes compress better than whole numbers.
-        raw = a.view(np.uint8).reshape(a.size, a.dtype.itemsize).T.tobytes() if a.size else b""
-        out.write(head + raw)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+        if a.dtype == np.float64 and a.size:
+            # Few distinct numbers: their list, and a place in it for each.
+            values, place = np.unique(a, return_inverse=True)
+            if values.size <= a.size // 4:
+                small = np.uint16 if values.size < 1 << 16 else np.uint32
+                _put(out, f"{name}#", values)
+                _put(out, f"{name}@", place.astype(small))
+                continue
+        _put(out, name, a)
+    return zstandard.ZstdCompressor(level=level).compress(out.getvalue())
+
+
+def _put(out: io.BytesIO, name: str, a: np.ndarray) -> None:
+    # Planes of equal-weight bytes compress better than whole numbers.
+    out.write(f"{name}:{a.dtype.str}:{a.size}\n".encode())
+    out.write(a.view(np.uint8).reshape(a.size, a.dtype.itemsize).T.tobytes() if a.size else b"")
 
 
 def unpack(body: bytes) -> dict[str, np.ndarray]:
@@ -84,6 +99,8 @@ def unpack(body: bytes) -> dict[str, np.ndarray]:
         planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
         out[name] = np.ascontiguousarray(planes.T).view(dtype).reshape(n)
         at += n * dtype.itemsize
+        if name.endswith("@"):
+            out[name[:-1]] = out.pop(f"{name[:-1]}#")[out.pop(name)]
     return out
 
 
@@ -107,7 +124,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch], partition: int) -> Iterator[tup
 
 def docs_body(rows: list, ids: list, texts: list[bytes]) -> bytes:
     """The documents of a chunk as one value; a NULL id is kept by a mask."""
-    return pack(row=np.array(rows, np.int64), null=np.array([i is None for i in ids], np.uint8),
+    return pack(level=3, row=np.array(rows, np.int64), null=np.array([i is None for i in ids], np.uint8),
                 id=np.array([0 if i is None else i for i in ids], np.int64),
                 size=np.array([len(t) for t in texts], np.int64),
                 text=np.frombuffer(b"".join(texts), np.uint8))
@@ -311,6 +328,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def key_bits(keys: int, buckets: int, spare: int) -> int:
+    """Bits of a key, bucket aside, so that among ``keys`` different ones 2 ** -(spare + 1) chance matches are expected, at any size."""
+    return min(60, max(24, math.ceil(2 * math.log2(keys + 1)) + spare - (buckets.bit_length() - 1)))
+
+
 class Keys:
     """Distinct keys of a chunk, dealt to buckets; answers come back in the same order."""
 

@@ -10,8 +10,9 @@ which is below one for every r.  So every history has left-over mass, and its
 weight, (1 - discounted mass of its seen words) / (1 - lower-order mass of its
 seen words), normalises it exactly.
 
-The tables (words, pairs, histories) are partitioned by key hash; see
-common.py for how chunks of documents ask them.
+The tables (words, pairs, histories) are partitioned by key hash, of so many
+bits that no chance match is expected at any size; see common.py for how
+chunks of documents ask them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import (EXCHANGE_SCHEMA, Keys, buckets_for, carry, docs_from, deltas, meet, mix, numbered, pack, per_chunk,
+from corvid.llm.common import (EXCHANGE_SCHEMA, Keys, buckets_for, carry, docs_from, deltas, key_bits, meet, mix, numbered, pack, per_chunk,
                                stable, text_bytes, together, undeltas, unpack, word_hashes)
 
 #: Counts up to which the plain Good-Turing ratio is used, and counts of counts that the fit uses.
@@ -165,10 +166,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     size = text_bytes(docs) // 6 + 1
     word_buckets, pair_buckets = buckets_for(size // 4), buckets_for(size // 2)
     pairs_from = 1 << 28
+    word_bits, pair_bits = key_bits(size, word_buckets, 12), key_bits(size, pair_buckets, 2)
 
     def words(texts):
         token, history, doc = tokens(texts)
-        return token, history, doc, Keys(token, word_buckets, 60)
+        return token, history, doc, Keys(token, word_buckets, word_bits)
 
     def ask_words(chunk, rows, ids, texts):
         token, _, doc, keys = words(texts)
@@ -195,7 +197,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         ends = np.flatnonzero(token == END)
         before[start] = of_token[ends[0]] if len(ends) else 0
         known = np.flatnonzero((of_token > 0) & (before > 0))
-        return token, history, doc, of_token, before, known, Keys(_pair(history[known], token[known]), pair_buckets, 60)
+        return token, history, doc, of_token, before, known, Keys(_pair(history[known], token[known]), pair_buckets, pair_bits)
 
     def ask_pairs(chunk, body, got):
         _, ids, texts = docs_from(body)
@@ -234,10 +236,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         np.minimum.at(first, keys.inverse, np.arange(len(known)))
         own = known[first[owner]]
         mass, low = discount(pair[owner]) * pair[owner], lower.seen(count[own])
-        of_history = Keys(np.concatenate((history[own], history[backs])), word_buckets, 60)
+        of_history = Keys(np.concatenate((history[own], history[backs])), word_buckets, word_bits)
         mine, asks = of_history.inverse[:len(own)], of_history.inverse[len(own):]
         n = len(of_history.keys)
         asked = np.bincount(asks, minlength=n) > 0
+        times = np.zeros(n, np.int64)
+        times[asks] = before[backs]
         for k, (bucket, out) in enumerate(of_history.bodies(mass=np.bincount(mine, mass, n), low=np.bincount(mine, low, n))):
             a, b = of_history.edges[k], of_history.edges[k + 1]
             yield 1, chunk, bucket, pack(**unpack(out), asked=np.packbits(asked[a:b]))
@@ -246,7 +250,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             null=np.array([i is None for i in ids], np.uint8), id=np.array([0 if i is None else i for i in ids], np.int64),
             tokens=np.bincount(doc, minlength=n_docs), known=np.bincount(doc[count > 0], minlength=n_docs),
             base=np.bincount(doc, lower.base(count), n_docs), score=np.bincount(doc, log, n_docs),
-            keys=of_history.keys[asked], back=_narrow((np.cumsum(asked) - 1)[asks]), doc=_narrow(doc[backs]), before=before[backs],
+            back=_narrow((np.cumsum(asked) - 1)[asks]), doc=_narrow(doc[backs]), times=_narrow(times[asked]),
             edges=of_history.edges, buckets=of_history.buckets, asked=np.packbits(asked))
 
     step = meet(chunks, both, ask_histories, "kind int, chunk long, bucket int, body binary").checkpoint()
@@ -278,7 +282,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         if len(mass) != asked.sum():
             raise ValueError("the documents changed between two reads; write them to a table first")
         back = held["back"].astype(np.int64)
-        weight = np.log10(1 - mass[back] / held["before"]) - np.log10(1 - low[back])
+        weight = (np.log10(1 - mass / held["times"]) - np.log10(1 - low))[back]
         total_ = held["score"] + np.bincount(held["doc"].astype(np.int64), weight, len(held["score"]))
         for k, (z, i) in enumerate(zip(held["null"].tolist(), held["id"].tolist())):
             i = None if z else i
