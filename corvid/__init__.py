@@ -6,14 +6,12 @@ sources    scans and sinks
 functions  column-expression helpers (built-in functions only)
 operators  DataFrame -> DataFrame operators
 plans      role bindings of the driver tables, flows, registered queries
-streaming  (the source pipeline is batch only; see its module docstring)
 """
 
 __version__ = "0.1.0"
 
-# Functions of this package that run inside Python workers (the pandas
-# functions of the exact phrase scan and of the k-NN block scorer) are
-# shipped by value, so executors need no copy of the package installed.
+# Functions of this package that run inside Python workers (such as the
+# k-NN block scorer) are shipped by value, so executors need no copy of the package installed.
 try:
     import sys as _sys
 

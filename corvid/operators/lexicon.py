@@ -18,10 +18,8 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 # Runs of non-blank, non-dot characters with inner dots form a word; a run
 # of dots (a full stop before a blank or the end) is its own token.
@@ -244,6 +242,31 @@ def scan_flag(text: str, entry: PhraseKey) -> int:
     return 0
 
 
+def _starts(text: Column, phrase: str) -> Column:
+    """Start offsets of the non-overlapping occurrences of a literal, left to right, from the lengths of the pieces between."""
+    lengths = F.transform(F.split(text, re.escape(phrase), -1), lambda x: F.length(x))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, n: F.struct((acc["at"] + n + len(phrase)).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out"))
+    # The piece after the last occurrence starts nothing.
+    return F.aggregate(F.slice(lengths, F.lit(1), F.size(lengths) - 1), first, step, lambda acc: acc["out"])
+
+
+def _scan(text: Column, entry: PhraseKey) -> Column:
+    """``scan_flag`` in built-in functions; texts without an include phrase are not scanned."""
+    some = None
+    for p in dict.fromkeys(entry.include):
+        some = text.contains(p) if some is None else some | text.contains(p)
+    starts = F.concat(*[_starts(text, p) for p in dict.fromkeys(entry.include)])
+    spans = F.concat(*[_spans(text, e) for e in dict.fromkeys(entry.exclude)])
+    free = F.element_at(F.transform(F.array(spans), lambda xs: F.exists(
+        starts, lambda s: ~F.exists(xs, lambda x: (x["lo"] <= s) & (s <= x["hi"])))), 1)
+    return F.coalesce(F.when(some, free.cast("int")), F.lit(0))
+
+
+def _spans(text: Column, phrase: str) -> Column:
+    return F.transform(_starts(text, phrase), lambda s: F.struct(s.alias("lo"), (s + len(phrase)).alias("hi")))
+
+
 def phrase_flag(text: Column, entry: PhraseKey) -> Column:
     if not entry.include:
         return F.lit(0)
@@ -254,10 +277,7 @@ def phrase_flag(text: Column, entry: PhraseKey) -> Column:
             cond = term if cond is None else cond | term
         return F.coalesce(cond.cast("int"), F.lit(0))
     if needs_scan(entry):
-        @F.pandas_udf(IntegerType())
-        def _scan(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: scan_flag(t, entry)).astype("int32")
-        return _scan(text)
+        return _scan(text, entry)
     return F.coalesce(text.rlike(phrase_regex(entry)).cast("int"), F.lit(0))
 
 

@@ -37,8 +37,3 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
             seen.add(c)
             cols.append(c)
     return df.select(*keep, *[to_number(c).alias(c) for c in cols])
-
-
-def fill_text(col: str, default: str = "no note"):
-    """FL15: NULL text -> a default string."""
-    return F.coalesce(F.col(col), F.lit(default))

@@ -47,12 +47,6 @@ def stop_words(extra: Iterable[str] = DOMAIN_STOP_WORDS, language: str = "englis
     return sorted(set(extra) | set(default_stop_words(language)))
 
 
-def split_words(col: str) -> Column:
-    """FN6 / TX5: split raw text on whitespace runs; no lower-casing or
-    punctuation removal, and a leading blank yields an empty first word."""
-    return F.split(F.col(col), WHITESPACE)
-
-
 def word_count(df: DataFrame, col: str, stop: Iterable[str] | None = None) -> DataFrame:
     """TX6 / TX7 (FN6 -> FN10 -> FN9 -> FL9 -> AG13 -> SO2): word frequencies,
     most frequent first, ties by word.

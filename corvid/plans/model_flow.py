@@ -12,6 +12,7 @@ from corvid.operators import evaluate as ev
 from corvid.operators import lexicon as lx
 from corvid.operators import matrix as mx
 from corvid.operators import notes as nt
+from corvid.operators import quality
 from corvid.plans import bindings as b
 from corvid.plans import text_flow as tf
 from corvid.sources import spread_for_cpu
@@ -132,4 +133,4 @@ def model_scores(spark: SparkSession, d: str, balance: str = "global", parallel:
 
 
 def class_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return b.table(spark, d, "labels").groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
+    return quality.class_sizes(b.table(spark, d, "labels"), LABEL)

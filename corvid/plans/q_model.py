@@ -20,49 +20,55 @@ JOIN ({ot.token_sql(tf.TEST_TOKENS)}) t ON b.doc_id = t.doc_id
 JOIN ({ot.phrase_sql(tf.TEST_PHRASES)}) p ON b.doc_id = p.doc_id"""
 
 
-FOLDS_SQL = """
-WITH l AS (SELECT doc_id, toxic FROM labels),
-cls AS (SELECT toxic, count(*) AS n, min(doc_id) AS first FROM l GROUP BY toxic),
-enc AS (SELECT toxic, n, coalesce(sum(n) OVER (ORDER BY first
+def folds_sql(rows: str = "SELECT doc_id, toxic FROM labels", key: str = "doc_id", label: str = "toxic") -> str:
+    return f"""
+WITH l AS ({rows}),
+cls AS (SELECT {label}, count(*) AS n, min({key}) AS first FROM l GROUP BY {label}),
+enc AS (SELECT {label}, n, coalesce(sum(n) OVER (ORDER BY first
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cls),
 fo AS (SELECT range AS f FROM range(5)),
 alloc AS (
-  SELECT e.toxic, fo.f,
+  SELECT e.{label}, fo.f,
     (CASE WHEN e.start + e.n - 1 - fo.f < 0 THEN 0 ELSE floor((e.start + e.n - 1 - fo.f) / 5) + 1 END)
   - (CASE WHEN e.start - 1 - fo.f < 0 THEN 0 ELSE floor((e.start - 1 - fo.f) / 5) + 1 END) AS a
   FROM enc e CROSS JOIN fo),
-cum AS (SELECT toxic, f, sum(a) OVER (PARTITION BY toxic ORDER BY f) AS hi,
-               sum(a) OVER (PARTITION BY toxic ORDER BY f) - a AS lo FROM alloc),
-r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1 AS rk FROM l)
-SELECT r.doc_id, r.toxic, CAST(c.f AS INTEGER) AS fold
-FROM r JOIN cum c ON r.toxic = c.toxic AND r.rk >= c.lo AND r.rk < c.hi"""
+cum AS (SELECT {label}, f, sum(a) OVER (PARTITION BY {label} ORDER BY f) AS hi,
+               sum(a) OVER (PARTITION BY {label} ORDER BY f) - a AS lo FROM alloc),
+r AS (SELECT {key}, {label}, row_number() OVER (PARTITION BY {label} ORDER BY {key}) - 1 AS rk FROM l)
+SELECT r.{key}, r.{label}, CAST(c.f AS INTEGER) AS fold
+FROM r JOIN cum c ON r.{label} = c.{label} AND r.rk >= c.lo AND r.rk < c.hi"""
+
+
+FOLDS_SQL = folds_sql()
 
 
-def gnb_sql(tail: str) -> str:
+def gnb_sql(tail: str, matrix: str | None = None, folds: str = FOLDS_SQL, feats=None, label: str = "toxic",
+            key: str = "doc_id") -> str:
     """Gaussian naive Bayes in closed form: per training split, class priors,
     means and population variances, variance floor 1e-9 x the largest
     feature variance of the split; predict the most likely class (ties ->
     the lower class)."""
-    stats = ", ".join(f"avg({x}) AS mu_{x}, var_pop({x}) AS v_{x}" for x in FEATS)
-    maxvar = "greatest(" + ", ".join(f"var_pop({x})" for x in FEATS) + ")"
+    feats = list(feats or FEATS)
+    stats = ", ".join(f"avg({x}) AS mu_{x}, var_pop({x}) AS v_{x}" for x in feats)
+    maxvar = "greatest(" + ", ".join(f"var_pop({x})" for x in feats) + ")"
     terms = " + ".join(
         f"ln(2 * pi() * (s.v_{x} + 1e-9 * t.maxvar)) + "
-        f"(d.{x} - s.mu_{x}) * (d.{x} - s.mu_{x}) / (s.v_{x} + 1e-9 * t.maxvar)" for x in FEATS)
+        f"(d.{x} - s.mu_{x}) * (d.{x} - s.mu_{x}) / (s.v_{x} + 1e-9 * t.maxvar)" for x in feats)
     return f"""
-WITH m AS ({matrix_sql()}),
-f AS ({FOLDS_SQL}),
-data AS (SELECT m.*, f.fold FROM m JOIN f ON m.doc_id = f.doc_id),
+WITH m AS ({matrix or matrix_sql()}),
+f AS ({folds}),
+data AS (SELECT m.*, f.fold FROM m JOIN f ON m.{key} = f.{key}),
 train AS (SELECT fo.fold AS test_fold, d.* FROM (SELECT DISTINCT fold FROM data) fo
           JOIN data d ON d.fold <> fo.fold),
-stats AS (SELECT test_fold, toxic AS cls, count(*) AS n_c, {stats} FROM train GROUP BY test_fold, toxic),
+stats AS (SELECT test_fold, {label} AS cls, count(*) AS n_c, {stats} FROM train GROUP BY test_fold, {label}),
 tot AS (SELECT test_fold, count(*) AS n, {maxvar} AS maxvar FROM train GROUP BY test_fold),
 scored AS (
-  SELECT d.doc_id, d.fold, d.toxic, s.cls,
+  SELECT d.{key}, d.fold, d.{label}, s.cls,
          ln(s.n_c / t.n) - 0.5 * ({terms}) AS ll
   FROM data d JOIN stats s ON s.test_fold = d.fold JOIN tot t ON t.test_fold = d.fold),
 pred AS (
-  SELECT doc_id, fold, toxic AS label, cls AS prediction FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ll DESC, cls) AS rn FROM scored)
+  SELECT {key}, fold, {label} AS label, cls AS prediction FROM (
+    SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ll DESC, cls) AS rn FROM scored)
   WHERE rn = 1),
 conf AS (
   SELECT 'Gaussian Naive Bayes' AS model, fold,

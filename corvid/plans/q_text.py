@@ -77,7 +77,7 @@ SELECT word, count(*) AS count FROM (SELECT unnest({_SPLIT}) AS word FROM docume
 WHERE word <> '' AND lower(word) NOT IN {ot.in_list(wd.stop_words())} GROUP BY word"""
 
 
-@register("word_count_nostop", _nostop_sql())
+@register("word_count_nostop", _nostop_sql)
 def word_count_nostop(spark, d):
     """TX6: stop words (domain + default English) removed."""
     return tf.word_count(spark, d, stop=True)
