@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.operators.payments import CategoryRules, PaidFilter
-from corvid.sources import spread_for_cpu
 
 SOURCE_TAG = "tpch"
 
@@ -44,9 +43,9 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as payments; grouping/description from part, line of business
     from the order.  ``transaction_type`` is the line number as text with line 7
     made NULL, so the equals-or-NULL predicate has NULLs to keep."""
-    li = spread_for_cpu(table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag",
-        "l_linestatus", "l_shipdate"))
+        "l_linestatus", "l_shipdate")
     pt = table(spark, sf_dir, "part")
     od = table(spark, sf_dir, "orders")
     # Enrichment joins are LEFT joins: a payment is never dropped for a
@@ -71,7 +70,19 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def claimants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payment columns that need no part: key, line of business, section,
+    status and amount.  (A LEFT join below a sum cannot be removed by the
+    optimizer, so flows that read no part column do not join it.)"""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag", "l_linestatus")
+    od = table(spark, sf_dir, "orders")
+    return li.join(od, li.l_orderkey == od.o_orderkey, "left").select(
+        F.col("l_orderkey").alias("claim_number"), F.col("o_orderpriority").alias("lob"),
+        F.col("l_returnflag").alias("section"), F.col("l_linestatus").alias("clean_payment_status"),
+        F.col("l_extendedprice").alias("payment_amount"))
+
+
+def claimants(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Distinct (order, supplier) line attributes joined to the supplier and
     its region.  A pair with several lines can yield several claimant rows,
     so the spine join really fans out.
@@ -80,8 +91,10 @@ def claimants(spark: SparkSession, sf_dir: str) -> DataFrame:
     every supplier-derived column is a function of the (unique) supplier key,
     so the rows are the same as de-duplicating the joined rows, and the
     aggregate carries five narrow columns instead of fourteen."""
-    li = spread_for_cpu(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    if only is not None:   # restrict to the claims of ``only`` before the distinct
+        li = li.join(only, li.l_orderkey == only.claim_number, "left_semi")
     lines = li.select(
         F.col("l_orderkey").alias("claim_number"),
         F.col("l_suppkey").alias("claimant_number"),

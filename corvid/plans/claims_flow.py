@@ -26,10 +26,13 @@ def claim_spine(spark: SparkSession, d: str) -> DataFrame:
     return spine.project_distinct(b.claims(spark, d), b.SPINE_COLUMNS)
 
 
-def spine_with_claimants(spark: SparkSession, d: str) -> DataFrame:
+def spine_with_claimants(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """JN1; ``only`` restricts both sides to its claims before they are made distinct."""
     # The spine is de-duplicated and the claimant binding is distinct (its
     # line columns are de-duplicated, the rest follows 1:1 from unique keys).
-    return spine.attach(claim_spine(spark, d), b.claimants(spark, d), on=JOIN_KEYS,
+    claims = spine.project_distinct(b.claims(spark, d) if only is None else b.claims(spark, d).join(only, "claim_number", "left_semi"),
+                                    b.SPINE_COLUMNS)
+    return spine.attach(claims, b.claimants(spark, d, only), on=JOIN_KEYS,
                         columns=b.CLAIMANT_COLUMNS, how="left", inputs_distinct=True)
 
 
@@ -42,7 +45,11 @@ def payment_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payment_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return pay.pivot_payments(spine_with_claimants(spark, d), payment_features(spark, d))
+    # The right join keeps paid claims only: build the spine of just those.
+    # The features are few and read twice.
+    features = payment_features(spark, d).checkpoint()
+    paid = features.select("claim_number").distinct()
+    return pay.pivot_payments(spine_with_claimants(spark, d, paid), features)
 
 
 def motor_one_per_claim(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +64,7 @@ def motor_one_per_claim(spark: SparkSession, d: str) -> DataFrame:
 
 def motor_payments(spark: SparkSession, d: str) -> DataFrame:
     p = b.BINDING.paid
-    return (b.payments(spark, d)
+    return (b.line_payments(spark, d)
             .filter(F.col("lob").isin(list(b.BINDING.lobs)))
             .filter((F.col(p.section_col) == p.section) & (F.col(p.status_col) == p.status)))
 

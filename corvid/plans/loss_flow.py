@@ -71,4 +71,4 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     folds = ev.stratified_folds(m.select(KEY, LABEL), LABEL, KEY).select(KEY, "fold")
     data = mx.assemble(m.join(folds, KEY), FEATURES, LABEL, keep=[KEY, "fold"])
     gnb = [lr for lr in ev.learners() if lr.name == "Gaussian Naive Bayes"]
-    return ev.mean_scores(ev.fold_scores(ev.confusion(ev.cross_validate(data, gnb, parallel=5))))
+    return ev.mean_scores(ev.fold_scores(ev.cross_validate(data, gnb, parallel=5)))

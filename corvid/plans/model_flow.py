@@ -53,17 +53,34 @@ def fold_matrix(spark: SparkSession, d: str) -> DataFrame:
     return mx.assemble(m, MATRIX_FEATURES, LABEL, keep=[ID, "fold"])
 
 
-def gnb_predictions(spark: SparkSession, d: str) -> DataFrame:
+def _gnb_counts(data: DataFrame) -> DataFrame:
     gnb = [lr for lr in ev.learners() if lr.name == "Gaussian Naive Bayes"]
-    return ev.cross_validate(fold_matrix(spark, d), gnb, parallel=5)
+    return ev.cross_validate(data, gnb, parallel=5)
 
 
 def gnb_confusion(spark: SparkSession, d: str) -> DataFrame:
-    return ev.confusion(gnb_predictions(spark, d))
+    return _gnb_counts(fold_matrix(spark, d))
 
 
 def gnb_scores(spark: SparkSession, d: str) -> DataFrame:
-    return ev.mean_scores(ev.fold_scores(ev.confusion(gnb_predictions(spark, d))))
+    return ev.mean_scores(ev.fold_scores(gnb_confusion(spark, d)))
+
+
+def gnb_scores_smote(spark: SparkSession, d: str) -> DataFrame:
+    """ML1 + ML3: the same scores on the set oversampled 1:1 before folding."""
+    return ev.mean_scores(ev.fold_scores(_gnb_counts(smote_fold_matrix(spark, d))))
+
+
+def gnb_scores_smotenc(spark: SparkSession, d: str) -> DataFrame:
+    """ML2 + ML13: the same scores on the mixed-type oversampled set."""
+    return ev.mean_scores(ev.fold_scores(_gnb_counts(smotenc_fold_matrix(spark, d))))
+
+
+def best_model(spark: SparkSession, d: str) -> DataFrame:
+    """AG18 + AG19: score table and best variant of one learner on the plain and the two oversampled sets."""
+    names = ("Plain", "Oversampled", "Mixed-type oversampled")
+    parts = [f(spark, d).withColumn("model", F.lit(n)) for n, f in zip(names, (gnb_scores, gnb_scores_smote, gnb_scores_smotenc))]
+    return ev.score_table(parts[0].unionByName(parts[1]).unionByName(parts[2]), names)
 
 
 # Continuous / categorical split of the matrix columns for mixed-type
@@ -82,6 +99,7 @@ def _as_arrays(m: DataFrame) -> DataFrame:
 def _balanced_folds(bal: DataFrame, k: int) -> DataFrame:
     """Folds over a balanced set in its row order: originals by id, then the
     synthetic rows by sample number (the order oversampling returns)."""
+    bal = bal.checkpoint()   # read for the offset, the class sizes and the ranks
     offset = bal.agg(F.max(ID)).first()[0] + 1
     order = F.when(F.col("synthetic"), F.lit(offset) + F.col("sample")).otherwise(F.col(ID))
     return ev.stratified_folds(bal.withColumn("_ord", order), LABEL, "_ord", k)

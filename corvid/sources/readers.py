@@ -58,16 +58,16 @@ def load_value_from_path(df: DataFrame, pattern: str, name: str = "load_date") -
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
-def spread_for_cpu(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Before CPU-heavy per-row work (regexes over whole texts), make sure
-    the rows are spread over at least the cluster's parallelism.
-
-    Only when the scan yields fewer input splits than that (a few large,
-    unsplittable files) is a round-robin shuffle added; a normal large input
-    already arrives in many splits and is left untouched.  Planning the
-    splits lists files on the driver but runs no job.
+def spread_for_cpu(df: DataFrame, factor: int = 2, below: int = 2) -> DataFrame:
+    """Spread a scan that arrives as one unsplittable file before CPU-heavy
+    per-row work (regexes over whole texts).
+
+    Only a scan of fewer than ``below`` splits is dealt out again, over
+    ``factor`` times the cluster's parallelism; a table of several splits is
+    left alone on any cluster (a lower ``spark.sql.files.maxPartitionBytes``
+    spreads it without a shuffle).  Planning the splits lists files on the
+    driver but runs no job.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
+    if df.rdd.getNumPartitions() >= below:
         return df
-    return df.repartition(target)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * factor)
