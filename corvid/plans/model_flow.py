@@ -114,10 +114,14 @@ def smote_fold_matrix(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
                          F.col(LABEL).cast("double").alias("label"), "fold")
 
 
+def smotenc_rows(spark: SparkSession, d: str) -> DataFrame:
+    """ML2: originals and synthetic rows of the matrix."""
+    return bl.smote_nc(matrix(spark, d), ID, NC_CONTINUOUS, NC_CATEGORICAL, LABEL, **SMOTE_NC)
+
+
 def smotenc_fold_matrix(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """ML2 then WN5: mixed-type oversampling to minority/majority 0.2."""
-    bal = bl.smote_nc(matrix(spark, d), ID, NC_CONTINUOUS, NC_CATEGORICAL, LABEL, **SMOTE_NC)
-    folded = _balanced_folds(bal, k)
+    folded = _balanced_folds(smotenc_rows(spark, d), k)
     return mx.assemble(folded, MATRIX_FEATURES, LABEL, keep=["fold"])
 
 

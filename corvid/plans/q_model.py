@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corvid.functions.columns import mix_hash_sql
 from corvid.plans import model_flow as mf
 from corvid.plans import oracle_text as ot
 from corvid.plans import text_flow as tf
@@ -94,6 +95,84 @@ SELECT model, metric, round(score, 12) AS score FROM (
   UNION ALL SELECT model, 'F1 Score', avg(f1) FROM per_fold GROUP BY model)"""
 
 
+def _draws(seed: int) -> str:
+    """CTEs after m (minority rows: id, r), cnt (n_min, need) and nn (id, nbr, rank): one row per synthetic sample."""
+    return f"""
+alloc AS (SELECT m.id, m.r, c.n_min, c.need // c.n_min + CASE WHEN m.r < c.need % c.n_min THEN 1 ELSE 0 END AS m_r FROM m, cnt c),
+samples AS (SELECT id, r + n_min * t AS s FROM alloc, LATERAL (SELECT unnest(range(m_r)) AS t)),
+draws AS (SELECT id, s, ((({mix_hash_sql('s', seed)}) * 5) >> 32) + 1 AS pick,
+                 CAST({mix_hash_sql('s', seed, 1)} AS DOUBLE) / {float(1 << 32)} AS u FROM samples),
+picked AS (SELECT d.id, d.s, d.u, nn.nbr FROM draws d JOIN nn ON nn.id = d.id AND nn.rank = d.pick)"""
+
+
+def _minority(ratio: float) -> str:
+    return f"""mtx AS ({matrix_sql()}),
+cls AS (SELECT toxic, count(*) AS n FROM mtx GROUP BY toxic),
+small AS (SELECT toxic FROM cls ORDER BY n, toxic LIMIT 1),
+cnt AS (SELECT min(n) AS n_min, CAST(floor({ratio} * max(n) - min(n)) AS BIGINT) AS need FROM cls),
+m AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS r, * EXCLUDE (doc_id, toxic) FROM mtx
+      WHERE toxic = (SELECT toxic FROM small))"""
+
+
+def smote_sql() -> str:
+    """The matrix oversampled 1:1: ord (row order), features, toxic."""
+    dist = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in FEATS)
+    made = ", ".join(f"a.{x} + p.u * (b.{x} - a.{x}) AS {x}" for x in FEATS)
+    return f"""WITH {_minority(mf.SMOTE['ratio'])},
+nn AS (SELECT id, nbr, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank
+       FROM (SELECT a.id, b.id AS nbr, sqrt({dist}) AS dist FROM m a JOIN m b ON a.id <> b.id)),
+{_draws(mf.SMOTE['seed'])}
+SELECT doc_id AS ord, {", ".join(FEATS)}, toxic FROM mtx
+UNION ALL SELECT (SELECT max(doc_id) + 1 FROM mtx) + p.s, {made}, (SELECT toxic FROM small)
+FROM picked p JOIN m a ON a.id = p.id JOIN m b ON b.id = p.nbr"""
+
+
+def smotenc_sql() -> str:
+    """The matrix oversampled with mixed types: doc_id, features, toxic, synthetic, sample."""
+    cont, cat = mf.NC_CONTINUOUS, mf.NC_CATEGORICAL
+    dist = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in cont)
+    differ = " + ".join(f"CASE WHEN a.{x} IS DISTINCT FROM b.{x} THEN 1 ELSE 0 END" for x in cat)
+    votes = " UNION ALL ".join(f"SELECT nn.id, '{x}' AS col, b.{x} AS v FROM nn JOIN m b ON b.id = nn.nbr" for x in cat)
+    modes = ", ".join(f"max(CASE WHEN col = '{x}' THEN v END) AS {x}" for x in cat)
+    made = ", ".join(f"a.{x} + p.u * (b.{x} - a.{x}) AS {x}" if x in cont else f"o.{x}" for x in FEATS)
+    sds = ", ".join(f"stddev_pop({x})" for x in cont)
+    return f"""WITH {_minority(mf.SMOTE_NC['ratio'])},
+w AS (SELECT list_sort([{sds}])[{len(cont) // 2 + 1}] AS med FROM m),
+nn AS (SELECT * FROM (SELECT id, nbr, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank
+       FROM (SELECT a.id, b.id AS nbr, sqrt({dist} + ({differ}) * (w.med * w.med / 2)) AS dist FROM w, m a JOIN m b ON a.id <> b.id))
+       WHERE rank <= 5),
+votes AS ({votes}),
+modes AS (SELECT id, {modes} FROM (
+            SELECT id, col, v, row_number() OVER (PARTITION BY id, col ORDER BY count(*) DESC, v) AS rn FROM votes GROUP BY id, col, v)
+          WHERE rn = 1 GROUP BY id),
+{_draws(mf.SMOTE_NC['seed'])}
+SELECT doc_id, {", ".join(FEATS)}, toxic, false AS synthetic, CAST(NULL AS BIGINT) AS sample FROM mtx
+UNION ALL SELECT NULL, {made}, (SELECT toxic FROM small), true, CAST(p.s AS BIGINT)
+FROM picked p JOIN m a ON a.id = p.id JOIN m b ON b.id = p.nbr JOIN modes o ON o.id = p.id"""
+
+
+def _balanced_gnb(rows: str) -> str:
+    return gnb_sql(SCORES_TAIL, rows, folds_sql(f"SELECT ord, toxic FROM ({rows})", "ord"), key="ord")
+
+
+def gnb_smote_sql() -> str:
+    return _balanced_gnb(smote_sql())
+
+
+def gnb_smotenc_sql() -> str:
+    return _balanced_gnb(f"""SELECT CASE WHEN synthetic THEN max(doc_id) OVER () + 1 + sample ELSE doc_id END AS ord, {", ".join(FEATS)}, toxic
+FROM ({smotenc_sql()})""")
+
+
+def best_model_sql() -> str:
+    sets = (("Plain", gnb_sql(SCORES_TAIL)), ("Oversampled", gnb_smote_sql()), ("Mixed-type oversampled", gnb_smotenc_sql()))
+    long = " UNION ALL ".join(f"SELECT {k} AS place, '{n}' AS model, metric, score FROM ({q})" for k, (n, q) in enumerate(sets))
+    wide = ", ".join(f"max(CASE WHEN model = '{n}' THEN score END) AS \"{n}\"" for n, _ in sets)
+    return f"""WITH l AS ({long})
+SELECT metric, {wide}, (SELECT model FROM l x WHERE x.metric = l.metric ORDER BY score DESC, place LIMIT 1) AS "Best Score"
+FROM l GROUP BY metric"""
+
+
 @register("numeric_matrix", matrix_sql())
 def numeric_matrix(spark, d):
     """FM1 + FN8 over labelled documents with token and phrase features."""
@@ -136,3 +215,26 @@ def model_scores_nc(spark, d):
     """ML2 + ML13: the same evaluation on the mixed-type oversampled set."""
     return mf.model_scores(spark, d, balance="global_nc")[1]
 
+
+@register("smotenc_rows", smotenc_sql)
+def smotenc_rows(spark, d):
+    """ML2: the mixed-type oversampled rows themselves."""
+    return mf.smotenc_rows(spark, d)
+
+
+@register("gnb_scores_smote", gnb_smote_sql)
+def gnb_scores_smote(spark, d):
+    """ML1 + ML3 + ML8 on the set oversampled 1:1."""
+    return mf.gnb_scores_smote(spark, d)
+
+
+@register("gnb_scores_smotenc", gnb_smotenc_sql)
+def gnb_scores_smotenc(spark, d):
+    """ML2 + ML8 + ML13 on the mixed-type oversampled set."""
+    return mf.gnb_scores_smotenc(spark, d)
+
+
+@register("best_model", best_model_sql)
+def best_model(spark, d):
+    """AG18 + AG19: score table and best variant per metric."""
+    return mf.best_model(spark, d)
