@@ -157,11 +157,14 @@ def normalise(tokens: Column, lexicon: Sequence[TokenKey]) -> Column:
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(lit_map, t), t))
 
 
-def token_signal(norm: Column, entry: TokenKey) -> Column:
+def token_signal(norm: Column, entry: TokenKey, reduce: str = "max") -> Column:
     """TX10 + WN3 + FN12 for one key: max over occurrences of +1 (plain) or
-    -1 (the token at ``offset`` is a negation word); 0 when absent."""
+    -1 (the token at ``offset`` is a negation word); 0 when absent.
+    ``reduce="sum"`` adds the occurrences up instead (Q25)."""
+    if reduce not in ("max", "sum"):
+        raise ValueError(f"reduce: max or sum, not {reduce!r}")
     key = F.lit(entry.key)
-    if not entry.negations:
+    if reduce == "max" and not entry.negations:
         return F.when(F.array_contains(norm, key), F.lit(1)).otherwise(F.lit(0))
     negs = list(entry.negations)
 
@@ -170,14 +173,17 @@ def token_signal(norm: Column, entry: TokenKey) -> Column:
         neighbour = F.get(norm, i + F.lit(entry.offset))
         negated = F.coalesce(neighbour.isin(negs), F.lit(False))
         return F.when(x == key, F.when(negated, F.lit(-1)).otherwise(F.lit(1)))
-    return F.coalesce(F.array_max(F.transform(norm, code)), F.lit(0))
+    codes = F.transform(norm, code)
+    if reduce == "sum":
+        return F.coalesce(F.aggregate(codes, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0))), F.lit(0))
+    return F.coalesce(F.array_max(codes), F.lit(0))
 
 
 def token_signals(df: DataFrame, text_col: str, lexicon: Sequence[TokenKey] = TOKEN_LEXICON,
-                  keep: Sequence[str] = ()) -> DataFrame:
+                  keep: Sequence[str] = (), reduce: str = "max") -> DataFrame:
     """TX11: one integer column per key (keys in sorted order, SO6)."""
     staged = df.select(*keep, normalise(tokenize(text_col), lexicon).alias("_norm"))
-    cols = [token_signal(F.col("_norm"), e).alias(e.key)
+    cols = [token_signal(F.col("_norm"), e, reduce).alias(e.key)
             for e in sorted(lexicon, key=lambda e: e.key)]
     return staged.select(*keep, *cols)
 
@@ -267,9 +273,16 @@ def _spans(text: Column, phrase: str) -> Column:
     return F.transform(_starts(text, phrase), lambda s: F.struct(s.alias("lo"), (s + len(phrase)).alias("hi")))
 
 
-def phrase_flag(text: Column, entry: PhraseKey) -> Column:
+def phrase_flag(text: Column, entry: PhraseKey, word_boundary: bool = False) -> Column:
+    """TX12 for one key.  ``word_boundary`` (Q21) lets phrases match whole
+    words only: with a boundary at both ends, occurrences are found as runs
+    of words, so the text and every phrase are padded by one space."""
     if not entry.include:
         return F.lit(0)
+    if word_boundary:
+        spaced = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), "[^a-zA-Z0-9]+", "  ")
+        pad = lambda ps: tuple(f" {' '.join(re.findall('[a-zA-Z0-9]+', p)).replace(' ', '  ')} " for p in ps)
+        return phrase_flag(spaced, PhraseKey(entry.key, pad(entry.include), pad(entry.exclude)))
     if not entry.exclude:
         cond = None
         for p in dict.fromkeys(entry.include):
@@ -282,10 +295,10 @@ def phrase_flag(text: Column, entry: PhraseKey) -> Column:
 
 
 def phrase_flags(df: DataFrame, text_col: str, lexicon: Sequence[PhraseKey] = PHRASE_LEXICON,
-                 keep: Sequence[str] = ()) -> DataFrame:
+                 keep: Sequence[str] = (), word_boundary: bool = False) -> DataFrame:
     """TX13: one 0/1 column per key (keys in sorted order)."""
     text = F.col(text_col)
-    return df.select(*keep, *[phrase_flag(text, e).alias(e.key)
+    return df.select(*keep, *[phrase_flag(text, e, word_boundary).alias(e.key)
                               for e in sorted(lexicon, key=lambda e: e.key)])
 
 

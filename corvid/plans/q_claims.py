@@ -72,7 +72,7 @@ SELECT * EXCLUDE (dupe_count) FROM (
   FROM spine2) WHERE dupe_count > 1""")
 def duplicate_keys(spark, d):
     """WN2 + FL8 + DQ2 on the claimant spine (a claim has many claimants)."""
-    return quality.duplicate_keys(flow.spine_with_claimants(spark, d))
+    return quality.duplicate_keys(flow.spine_with_claimants(spark, d).checkpoint())   # counted and filtered: built once
 
 
 @register("closed_claim_paid", o.with_(o.CLAIMS, o.PAYMENTS, o.CLOSED) + "SELECT * FROM closed")

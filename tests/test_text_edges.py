@@ -161,3 +161,21 @@ def test_clean_text_property(spark):
     for i, t in enumerate(texts):
         want = _re.sub(" +", " ", _re.sub("[^a-zA-Z0-9.]", " ", t)).lower()
         assert got[i] == want, repr(t)
+
+
+def test_word_boundary_option(spark):
+    texts = ["them and hem", "hem", "the hem.", "a thousand", "usa today", "inside usa", None, "red  car", "red-car", "redcar", "big red car"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    keys = [lx.PhraseKey("hem", ("hem",)), lx.PhraseKey("usa", ("usa",), ("inside usa",)), lx.PhraseKey("car", ("red car",), ("big red",))]
+    got = {r.i: (r.car, r.hem, r.usa) for r in lx.phrase_flags(df, "t", keys, keep=["i"], word_boundary=True).collect()}
+    want = [(0, 1, 0), (0, 1, 0), (0, 1, 0), (0, 0, 0), (0, 0, 1), (0, 0, 0), (0, 0, 0), (1, 0, 0), (1, 0, 0), (0, 0, 0), (0, 0, 0)]
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_sum_of_signals(spark):
+    df = spark.createDataFrame([(0, "fire no fire fire"), (1, "no fire"), (2, ""), (3, None)], "i int, t string")
+    keys = [lx.TokenKey("fire", ("fire",), ("no",)), lx.TokenKey("plain", ("fires",))]
+    got = {r.i: r.fire for r in lx.token_signals(df, "t", keys, keep=["i"], reduce="sum").collect()}
+    assert got == {0: 1, 1: -1, 2: 0, 3: 0}
+    got = {r.i: r.fire for r in lx.token_signals(df, "t", keys, keep=["i"]).collect()}
+    assert got == {0: 1, 1: -1, 2: 0, 3: 0}
