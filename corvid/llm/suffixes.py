@@ -8,8 +8,8 @@ Only one digit per run of suffixes is dealt: the first digit of a suffix is
 the smallest hashed ``gram`` of its first ``width`` bytes, which neighbouring
 suffixes share and which equal strings have at the same offset.  The second
 digit is the whole stretch of text that such a run of suffixes covers; equal
-stretches settle all their suffixes at once.  Only suffixes at the borders of
-a repeat go on to the last digit, the string itself.
+stretches settle all their suffixes at once.  Only suffixes of a first digit
+with several stretches go on to the last digit, the string itself.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import (EXCHANGE_SCHEMA, Keys, bit_answers, buckets_for, carry, covered, deltas, docs_body,
-                               docs_from, exchange, meet, mix, numbered, pack, per_chunk, rolling, spans_of,
-                               stable, text_bytes, together, undeltas, unpack)
+from corvid.llm.common import (EXCHANGE_SCHEMA, Keys, bit_answers, buckets_for, carry, covered, deltas, docs_from, exchange,
+                               key_parts, meet, mix, numbered, pack, per_chunk, rolling, runs, spans_of, stable, text_bytes,
+                               together, undeltas, unpack)
 
 #: Bytes hashed at once.
 SLICE = 1 << 18
@@ -98,33 +98,20 @@ def strings_at(flat: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _ask(keys: Keys, ranks: np.ndarray, names: np.ndarray):
-    """Bodies with the smallest and the largest document of each key."""
+def _ask(keys: Keys, ranks: np.ndarray, names: np.ndarray, **per_key: np.ndarray):
+    """Bodies with the smallest document of each key."""
     low = keys.smallest(ranks)
-    high = -keys.smallest(-ranks)
     small = np.uint16 if len(names) < 1 << 16 else np.uint32
-    for k, (bucket, body) in enumerate(keys.bodies()):
+    for k, (bucket, body) in enumerate(keys.bodies(**per_key)):
         a, b = keys.edges[k], keys.edges[k + 1]
         used, low_at = np.unique(low[a:b], return_inverse=True)
-        yield bucket, pack(**unpack(body), names=deltas((names[used] ^ np.int64(-2**63)).view(np.uint64)), low=low_at.astype(small),
-                           more=np.packbits(high[a:b] > low[a:b]))
+        yield bucket, pack(**unpack(body), names=deltas((names[used] ^ np.int64(-2**63)).view(np.uint64)), low=low_at.astype(small))
 
 
 def _lowest(parts: list[dict]) -> np.ndarray:
     return np.concatenate([(undeltas(p["names"]).view(np.int64) ^ np.int64(-2**63))[p["low"]] for p in parts])
 
 
-def _shared(bodies: list[bytes]) -> list[bytes]:
-    """Answers: do two documents hold the key?"""
-    parts, order, group, size = together(bodies)
-    low = _lowest(parts)[order]
-    more = np.concatenate([np.unpackbits(p["more"], count=len(p["steps"])) for p in parts])[order].astype(bool)
-    start = np.cumsum(size) - size
-    several = np.minimum.reduceat(low, start) < np.maximum.reduceat(low, start)
-    several |= np.bincount(group, more, len(size)) > 0
-    return bit_answers(parts, order, several[group])
-
-
 def _earlier(bodies: list[bytes]) -> list[bytes]:
     """Answers: does a document before the asking chunk's first one hold the key?"""
     parts, order, group, size = together(bodies)
@@ -132,6 +119,66 @@ def _earlier(bodies: list[bytes]) -> list[bytes]:
     return bit_answers(parts, order, np.minimum.reduceat(low, np.cumsum(size) - size)[group] < low)
 
 
+class Digits:
+    """Distinct (first digit, stretch) pairs of a chunk; keys are the digits, once per stretch."""
+
+    def __init__(self, found: Runs, buckets: int, bits: int):
+        self.stretch, self.inverse = np.unique(found.stretch, return_inverse=True)
+        digit = np.zeros(len(self.stretch), np.uint64)
+        digit[self.inverse] = found.digit       # a stretch has one first digit
+        bucket, key = key_parts(digit, buckets, bits)
+        self.order = np.lexsort((self.stretch, key, bucket))
+        self.bucket, self.key, self.stretch = bucket[self.order], key[self.order], self.stretch[self.order]
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        self.inverse = place[self.inverse]
+        self.edges = np.append(runs(self.bucket), len(self.bucket))
+
+    def ask(self, ranks: np.ndarray, names: np.ndarray):
+        low = np.full(len(self.key), _LAST)
+        np.minimum.at(low, self.inverse, ranks)
+        small = np.uint16 if len(names) < 1 << 16 else np.uint32
+        for a, b in zip(self.edges, self.edges[1:]):
+            used, low_at = np.unique(low[a:b], return_inverse=True)
+            part = self.stretch[a:b] & np.uint64((1 << 48) - 1)
+            yield int(self.bucket[a]), pack(steps=deltas(self.key[a:b]), short=part.astype(np.uint32), rest=(part >> np.uint64(32)).astype(np.uint16),
+                                            names=deltas((names[used] ^ np.int64(-2**63)).view(np.uint64)), low=low_at.astype(small))
+
+    def answers(self, got: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Per pair: is its stretch in an earlier document, are its suffixes still open?"""
+        out = np.zeros((2, len(self.key)), bool)
+        for a, b in zip(self.edges, self.edges[1:]):
+            answer = unpack(got[int(self.bucket[a])])
+            if answer["n"][0] != b - a:
+                raise ValueError("the documents changed between two reads; write them to a table first")
+            out[0, a:b], out[1, a:b] = (np.unpackbits(answer[x], count=b - a) for x in ("closed", "open"))
+        return out
+
+
+def _digit_answers(bodies: list[bytes]) -> list[bytes]:
+    """Per (digit, stretch): closed if an earlier document than the chunk's first has it; open if the digit has other stretches too."""
+    parts = [unpack(b) for b in bodies]
+    keys = np.concatenate([undeltas(p["steps"]) for p in parts])
+    part = np.concatenate([p["short"].astype(np.uint64) | p["rest"].astype(np.uint64) << np.uint64(32) for p in parts])
+    low = _lowest(parts)
+    order = np.lexsort((part, keys))
+    keys, part, low = keys[order], part[order], low[order]
+    new_key = np.concatenate(([True], keys[1:] != keys[:-1]))
+    new = new_key | np.concatenate(([True], part[1:] != part[:-1]))
+    pair, group = np.cumsum(new) - 1, np.cumsum(new_key) - 1
+    first = np.minimum.reduceat(low, np.flatnonzero(new))
+    closed = first[pair] < low
+    several = np.bincount(group[new]) > 1
+    back = np.empty((2, len(order)), bool)
+    back[:, order] = closed, several[group]
+    out, end = [], 0
+    for p in parts:
+        n = len(p["steps"])
+        out.append(pack(n=np.array([n]), closed=np.packbits(back[0, end:end + n]), open=np.packbits(back[1, end:end + n])))
+        end += n
+    return out
+
+
 def _seen_before(keys: Keys, ranks: np.ndarray, got: dict[int, bytes]) -> np.ndarray:
     """Per occurrence: does a document with a smaller id hold its key?"""
     return keys.answers(got)[keys.inverse] | (keys.smallest(ranks)[keys.inverse] < ranks)
@@ -158,94 +205,64 @@ def repeated_strings(docs: DataFrame, width: int = 50, gram: int = 24, id_col: s
     others; rows of equal id do not remove each other's bytes; other columns
     are dropped.
 
-    Three exchanges of packed keys (see common.py), each dealt over hash
-    buckets after a per-chunk aggregation, so a string that most documents hold
-    reaches its bucket once per chunk.  Keys of the last two passes have about
-    63 bits, on top of an equal first digit.
+    Two exchanges of packed keys (see common.py), each dealt over hash buckets
+    after a per-chunk aggregation, so a string that most documents hold
+    reaches its bucket once per chunk and stretch.  Whole strings have keys of
+    about 63 bits, stretches of 48 on top of an equal first digit.
     """
     if not 0 < gram <= width:
         raise ValueError("gram: 1 to width")
     docs = stable(numbered(docs, id_col, text_col))
     digits = text_bytes(docs) * 2 // (width - gram + 2) + 1
     buckets, bits = buckets_for(digits), math.ceil(math.log2(digits + 1)) + 13
-    kinds = f"kind int, chunk long, bucket int, body binary, {_FINAL}"
+    strings_from = 1 << 28
 
     def ask(chunk, rows, ids, texts):
         names, rank = _ids(ids)
         found = Runs(texts, width, gram)
-        for bucket, body in _ask(Keys(found.digit, buckets, bits), rank[found.doc], names):
+        for bucket, body in Digits(found, buckets, bits).ask(rank[found.doc], names):
             yield bucket, chunk, body
 
-    def part(chunk, rows, ids, texts, mine, lo, hi, doc, **more):
-        """The documents in play as one row, with their runs."""
-        some = np.flatnonzero(mine).tolist()
-        sizes = np.array([len(t) for t in texts], np.int64)
-        shift = np.cumsum(np.where(mine, 0, sizes))[doc]
-        body = pack(docs=np.frombuffer(docs_body([int(rows[k]) for k in some], [ids[k] for k in some], [texts[k] for k in some]), np.uint8),
-                    lo=np.diff(lo - shift, prepend=0).astype(np.uint32), steps=(hi - lo).astype(np.uint32), **more)
-        return (2, chunk, None, body, *[None] * 8)
-
-    def first(chunk, body, got):
-        rows, ids, texts = docs_from(body)
-        names, rank = _ids(ids)
+    def settle(texts, rank, got):
+        """(runs, rank of each, closed, places of the open suffixes, the run of each place)."""
         found = Runs(texts, width, gram)
-        keys = Keys(found.digit, buckets, bits)
-        at = np.flatnonzero(keys.answers(got)[keys.inverse])
-        mine = np.zeros(len(texts), bool)
-        mine[found.doc[at]] = True
-        for k in np.flatnonzero(~mine).tolist():
-            yield (0, chunk, None, None, *_final(rows[k], ids[k], texts[k], None, with_text))
-        if len(at):
-            for bucket, out in _ask(Keys(found.stretch[at], buckets, 60), rank[found.doc[at]], names):
-                yield (1, chunk, bucket, out, *[None] * 8)
-            yield part(chunk, rows, ids, texts, mine, found.lo[at], found.hi[at], found.doc[at])
-
-    def open_(body):
-        held = unpack(body)
-        rows, ids, texts = docs_from(held["docs"].tobytes())
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-        lo = np.cumsum(held["lo"].astype(np.int64))
-        doc = np.searchsorted(np.cumsum([len(t) for t in texts]), lo, "right")
-        return held, rows, ids, texts, flat, lo, lo + held["steps"].astype(np.int64), doc
-
-    def second(chunk, body, got):
-        held, rows, ids, texts, flat, lo, hi, doc = open_(body)
+        pairs = Digits(found, buckets, bits)
+        closed, several = pairs.answers(got)
+        ranks = rank[found.doc]
+        low = np.full(len(pairs.key), _LAST)
+        np.minimum.at(low, pairs.inverse, ranks)
+        closed = closed[pairs.inverse] | (low[pairs.inverse] < ranks)
+        left = np.flatnonzero(several[pairs.inverse] & ~closed)
+        places, of = _places(found.lo[left], found.hi[left])
+        return found, ranks, closed, places, left[of]
+
+    def ask_strings(chunk, body, got):
+        _, ids, texts = docs_from(body)
         names, rank = _ids(ids)
-        keys = Keys(stretch(strings_at(flat, lo, width), strings_at(flat, hi, width), hi - lo), buckets, 60)
-        closed = _seen_before(keys, rank[doc], got)
-        mine = np.zeros(len(texts), bool)
-        mine[doc[~closed]] = True
-        ends = np.cumsum([len(t) for t in texts])
-        gone = _cover(lo[closed], hi[closed], width, len(flat))
-        for k in np.flatnonzero(~mine).tolist():
-            yield (0, chunk, None, None, *_final(rows[k], ids[k], texts[k], gone[ends[k] - len(texts[k]):ends[k]], with_text))
-        if mine.any():
-            stay = mine[doc]
-            places, of = _places(lo[~closed], hi[~closed])
-            for bucket, out in _ask(Keys(strings_at(flat, places, width), buckets, 60), rank[doc[~closed]][of], names):
-                yield (1, chunk, bucket, out, *[None] * 8)
-            yield part(chunk, rows, ids, texts, mine, lo[stay], hi[stay], doc[stay], closed=closed[stay].astype(np.uint8))
-
-    def third(chunk, body, got):
-        held, rows, ids, texts, flat, lo, hi, doc = open_(body)
+        found, ranks, _, places, of = settle(texts, rank, got)
+        if len(places):
+            for bucket, out in _ask(Keys(strings_at(found.flat, places, width), buckets, 60), ranks[of], names):
+                yield bucket, chunk, out
+
+    def remove(chunk, body, got):
+        rows, ids, texts = docs_from(body)
         _, rank = _ids(ids)
-        closed = held["closed"].astype(bool)
-        places, of = _places(lo[~closed], hi[~closed])
-        keys = Keys(strings_at(flat, places, width), buckets, 60)
-        places = places[_seen_before(keys, rank[doc[~closed]][of], got)]
-        gone = _cover(lo[closed], hi[closed], width, len(flat)) | covered(places, width, len(flat))
+        found, ranks, closed, places, of = settle(texts, rank, got)
+        gone = _cover(found.lo[closed], found.hi[closed], width, len(found.flat))
+        if len(places):
+            keys = Keys(strings_at(found.flat, places, width), buckets, 60)
+            answers = {k - strings_from: v for k, v in got.items() if k >= strings_from}
+            gone |= covered(places[_seen_before(keys, ranks[of], answers)], width, len(found.flat))
         at = 0
         for k, t in enumerate(texts):
             yield _final(rows[k], ids[k], t, gone[at:at + len(t)], with_text)
             at += len(t)
 
-    answers = exchange(per_chunk(docs, ask, EXCHANGE_SCHEMA), _shared)
-    one = meet(carry(docs), answers, first, kinds).checkpoint()
-    answers = exchange(one.where("kind = 1").select("bucket", "chunk", "body"), _earlier)
-    two = meet(one.where("kind = 2").select("chunk", "body"), answers, second, kinds).checkpoint()
-    answers = exchange(two.where("kind = 1").select("bucket", "chunk", "body"), _earlier)
-    rest = meet(two.where("kind = 2").select("chunk", "body"), answers, third, _FINAL)
-    done = one.where("kind = 0").select(rest.columns).unionAll(two.where("kind = 0").select(rest.columns)).unionAll(rest)
+    chunks = carry(docs)
+    answers = exchange(per_chunk(docs, ask, EXCHANGE_SCHEMA), _digit_answers).checkpoint()
+    strings = exchange(meet(chunks, answers, ask_strings, EXCHANGE_SCHEMA), _earlier)
+    both = answers.unionAll(strings.select("chunk", (F.col("bucket") + strings_from).alias("bucket"), "body"))
+    done = meet(chunks, both, remove, _FINAL)
     return done.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_text)
 
 
