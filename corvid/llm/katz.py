@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import (EXCHANGE_SCHEMA, Keys, buckets_for, carry, docs_from, deltas, key_bits, meet, mix, numbered, pack, per_chunk,
+from corvid.llm.common import (EXCHANGE_SCHEMA, Keys, arrow_fields, buckets_for, carry, docs_from, deltas, key_bits, meet, mix, numbered, pack, per_chunk,
                                stable, text_bytes, together, undeltas, unpack, word_hashes)
 
 #: Counts up to which the plain Good-Turing ratio is used, and counts of counts that the fit uses.
@@ -244,19 +244,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         times[asks] = before[backs]
         for k, (bucket, out) in enumerate(of_history.bodies(mass=np.bincount(mine, mass, n), low=np.bincount(mine, low, n))):
             a, b = of_history.edges[k], of_history.edges[k + 1]
-            yield 1, chunk, bucket, pack(**unpack(out), asked=np.packbits(asked[a:b]))
+            yield bucket, chunk, pack(**unpack(out), asked=np.packbits(asked[a:b]))
         n_docs = len(texts)
-        yield 2, chunk, None, pack(
+        # The chunk's own row goes through the same shuffle, in a group that is handed on.
+        yield -1 - chunk % 1_000_003, chunk, pack(
             null=np.array([i is None for i in ids], np.uint8), id=np.array([0 if i is None else i for i in ids], np.int64),
             tokens=np.bincount(doc, minlength=n_docs), known=np.bincount(doc[count > 0], minlength=n_docs),
             base=np.bincount(doc, lower.base(count), n_docs), score=np.bincount(doc, log, n_docs),
             back=_narrow((np.cumsum(asked) - 1)[asks]), doc=_narrow(doc[backs]), times=_narrow(times[asked]),
             edges=of_history.edges, buckets=of_history.buckets, asked=np.packbits(asked))
 
-    step = meet(chunks, both, ask_histories, "kind int, chunk long, bucket int, body binary").checkpoint()
-
     def weigh(table: pa.Table) -> pa.Table:
         chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return table.select(["chunk", "bucket", "body"])
         at = np.argsort(np.array(chunks), kind="stable").tolist()
         parts, order, group, size = together([table.column("body")[k].as_py() for k in at])
         start = np.cumsum(size) - size
@@ -272,10 +273,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         return pa.table([pa.array([chunks[k] for k in at], pa.int64()), pa.array([bucket] * len(at), pa.int32()), pa.array(bodies, pa.binary())],
                         ["chunk", "bucket", "body"])
 
-    weights = step.where("kind = 1").groupBy("bucket").applyInArrow(weigh, "chunk long, bucket int, body binary")
+    weights = meet(chunks, both, ask_histories, EXCHANGE_SCHEMA).groupBy("bucket").applyInArrow(weigh, "chunk long, bucket int, body binary")
 
-    def finish(chunk, body, got):
-        held = unpack(body)
+    def finish(got):
+        held = unpack(next(body for bucket, body in got.items() if bucket < 0))
         asked = np.unpackbits(held["asked"], count=int(held["edges"][-1]) if len(held["edges"]) else 0).astype(bool)
         parts = [unpack(got[b]) for b in held["buckets"].tolist()]
         mass, low = (np.concatenate([p[x] for p in parts]) if parts else np.zeros(0) for x in ("mass", "low"))
@@ -288,8 +289,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             i = None if z else i
             yield i, not trains(i, held_out, of), int(held["tokens"][k]), int(held["known"][k]), total, float(held["base"][k]), float(total_[k])
 
-    done = meet(step.where("kind = 2").select("chunk", "body"), weights, finish,
-                "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    names, types = arrow_fields(schema)
+
+    def per_chunk_scores(table: pa.Table) -> pa.Table:
+        found = list(finish(dict(zip(table.column("bucket").to_pylist(), table.column("body").to_pylist()))))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+
+    done = weights.groupBy("chunk").applyInArrow(per_chunk_scores, schema)
     return done.withColumnRenamed("id", id_col)
 
 
