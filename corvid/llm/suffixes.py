@@ -74,7 +74,7 @@ class Runs:
             strings = rolling(part, width, 4)
             lo.append(a + begin)
             hi.append(a + stop)
-            digit.append(grams[anchor[begin]])
+            digit.append(mix(grams[anchor[begin]]))   # smallest hashes are small numbers; mixed, they deal evenly
             first.append(strings[begin])
             last.append(strings[stop])
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
