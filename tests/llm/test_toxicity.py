@@ -6,7 +6,8 @@ import numpy as np
 from corvid.llm import toxicity
 from corvid.llm.q_filters import op6_toxicity
 
-D = "/root/testdata/sf0.01"
+# sf0.01 has 38 toxic training documents over four languages, too few to learn from.
+D = "/root/testdata/sf0.1"
 
 
 def test_marginals_against_enumeration():
@@ -36,7 +37,8 @@ def test_held_out_accuracy_and_no_leak(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     held = [(label[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in label]
     right = sum(y == p for y, p in held) / len(held)
-    assert right > 0.93, right
+    caught = sum(p for y, p in held if y) / sum(y for y, _ in held)
+    assert right > 0.97 and caught > 0.9, (right, caught)
 
 
 def test_odd_rows(spark):
