@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import toxicity
-from corvid.llm.common import ROW, scratch, stable
+from corvid.llm.common import ROW, scratch, written
 from corvid.llm.decontaminate import contaminated
 from corvid.llm.naming import exact_groups
 from corvid.llm.packing import pack_sequences
@@ -22,7 +22,7 @@ from corvid.llm.simhash import simhash_groups
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return stable(docs).withColumn(ROW, F.monotonically_increasing_id())
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def _only(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:

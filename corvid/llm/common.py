@@ -61,6 +61,24 @@ def stable(docs: DataFrame) -> DataFrame:
     return docs.checkpoint() if wide else docs
 
 
+def written(docs: DataFrame) -> DataFrame:
+    """``docs`` computed once, as Parquet in the shared folder: its row numbers are the same for every later read."""
+    path = scratch(docs.sparkSession, "rows")
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
+def numbered_once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``numbered`` for more than one read.
+
+    The splits of a scan follow the cores that are registered when an action
+    starts, so numbers of a scan hold for one action only and are written.  A
+    caller's ``row_col`` must not depend on the splits.
+    """
+    rows = numbered(docs, id_col, text_col, row_col)
+    return written(rows) if row_col is None else stable(rows)
+
+
 def crc_mod(id_column: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a NULL id counts as the empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "UTF-8")), F.lit(divisor))

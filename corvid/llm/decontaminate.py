@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import numbered, stable
+from corvid.llm.common import numbered, numbered_once
 
 #: Words of a shingle, least weighted similarity, radius in bits and number of bit blocks.
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 10
@@ -93,7 +93,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     NULL and repeated ids, repeated documents and items are matched row by row;
     other columns are dropped.
     """
-    texts = stable(numbered(docs, id_col, text_col, row_col))
+    texts = numbered_once(docs, id_col, text_col, row_col)
     items = (shingled(numbered(benchmark, item_col, item_text_col)).where(F.size("grams") > 0)
              .select(F.col("row").alias("item_row"), F.col("id").alias("item"), F.col("n").alias("size"), F.col("grams").alias("item_grams"),
                      fingerprint(F.col("grams")).alias("item_fp")).checkpoint())

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import numbered, stable
+from corvid.llm.common import numbered_once
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -92,7 +92,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts; the joins back carry names and rows only and are left to skew
     splitting.
     """
-    rows = stable(numbered(docs, id_col, text_col, row_col))
+    rows = numbered_once(docs, id_col, text_col, row_col)
     plain = F.regexp_replace("text", BLANK, "")
     base = rows.select("row", "id", F.length("text").alias("size"), F.sha2(plain, 256).alias("text_sha256")).checkpoint()
     names = identities(rows.select("row", plain.cast("binary").alias("body")), block)
