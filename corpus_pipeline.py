@@ -44,12 +44,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the first row with the smallest id stays."""
+    """Of each SimHash group the first row with the smallest id (NULL last) stays; groups that share an id stay apart."""
     docs = _numbered(docs)
-    groups = simhash_groups(docs, row_col=ROW).checkpoint()
-    first = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("nameless"))
-             .agg(F.min(ROW).alias(ROW)))
+    groups = simhash_groups(docs, row_col=ROW, label_col="label")
+    first = (groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
+             .select(f"first.{ROW}"))
     return _only(docs, first)
 
 

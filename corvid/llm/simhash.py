@@ -150,7 +150,8 @@ def near_links(nodes: DataFrame, distance: int, segments: int = SEGMENTS) -> Dat
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = SEGMENTS,
-                   id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
+                   label_col: str | None = None) -> DataFrame:
     """Near-duplicate groups of all documents.
 
     Returns one row per input row: (row_col,) the id, ``fingerprint`` (16
@@ -160,7 +161,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, segment
     one shingle; NULL, empty and blank texts have fingerprint zero and link
     like any other.  Repeated rows share their fingerprint; a NULL id never
     names a component unless its component has no other id.  ``distance`` may
-    be 0 to 4.  Other columns are dropped.
+    be 0 to 4.  ``label_col`` adds the smallest fingerprint of the component
+    (signed), its only name where ids repeat or are NULL.  Other columns are
+    dropped.
     """
     if not 0 <= distance <= 4 or 64 % segments:
         raise ValueError("distance: 0 to 4; segments: a divisor of 64")
@@ -169,6 +172,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, segment
     labels = components(near_links(nodes, distance, segments).checkpoint())
     named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     first = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = named.join(first, "label").select("fp", "component_id")
+    named = named.join(first, "label").select("fp", "component_id", "label")
     keep = [F.col("row").alias(row_col)] if row_col else []
-    return fps.join(named, "fp").select(*keep, F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named, "fp").select(*keep, F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+                                         *([F.col("label").alias(label_col)] if label_col else []))

@@ -45,3 +45,20 @@ def test_stages_keep_columns_and_odd_rows(spark):
         sorted(((r["doc_id"], len(r["text"] or "")) for r in kept), key=str) == [(5, 17), (7, 45000), (None, 0), (None, 11)]
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), D).collect() == [], name
+
+
+def test_near_stage_keeps_groups_that_share_an_id(spark):
+    near = "one two three four five six seven eight nine ten " * 40
+    far = "red orange yellow green blue indigo violet black white grey " * 40
+    rows = [(5, near), (6, near), (5, far), (7, far), (None, "lorem ipsum dolor"), (None, "Lorem ipsum dolor"), (None, "sit amet elit sed")]
+    kept = cp.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), D).collect()
+    texts = sorted((str(r["doc_id"]), r["text"].lower()) for r in kept)
+    assert texts == sorted([("5", near), ("5", far), ("None", "lorem ipsum dolor"), ("None", "sit amet elit sed")])
+
+
+def test_near_stage_keeps_one_row_of_a_nameless_group(spark, monkeypatch):
+    # Two fingerprints one bit apart, no id: one group.
+    from corvid.llm import simhash
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.selectExpr("row", "id", "cast(length(text) as long) fp"))
+    docs = spark.createDataFrame([(None, "aa"), (None, "aaa"), (None, "a" * 60)], "doc_id long, text string")
+    assert sorted(len(r["text"]) for r in cp.near_stage(spark, docs, D).collect()) in ([2, 60], [3, 60])
