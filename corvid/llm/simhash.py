@@ -77,7 +77,7 @@ def links_in_cells(cells: np.ndarray, fps: np.ndarray, distance: int) -> tuple[n
     """Verified links between fingerprints of equal cells; enough of them to connect all that are near.
 
     Small cells are compared pair by pair.  In a larger one, fingerprints with
-    a common point within half the distance (their bit flips) are chained, so
+    a common point within half the distance (their bit flips) are linked to one of them, so
     the work grows with the cell and not with its square.
     """
     order = np.lexsort((fps, cells))
@@ -102,10 +102,15 @@ def links_in_cells(cells: np.ndarray, fps: np.ndarray, distance: int) -> tuple[n
         flips = np.array([0] + [sum(1 << j for j in js) for r in range(1, (distance + 1) // 2 + 1) for js in combinations(range(64), r)], np.uint64)
         hubs = (f[:, None] ^ flips[None, :]).ravel()
         mine = np.repeat(f, len(flips))
-        at = np.argsort(hubs, kind="stable")
-        hubs, mine = hubs[at], mine[at]
-        a, b = mine[:-1], mine[1:]
-        near = (hubs[1:] == hubs[:-1]) & (np.bitwise_count(a ^ b) <= distance) & (a != b)
+        # The members nearest to a hub come first.  Within half the distance, rounded down, of the hub, the first
+        # one is near all others; if it is farther off, every pair that is near meets at another hub.
+        away = np.bitwise_count(hubs ^ mine)
+        at = np.lexsort((away, hubs))
+        hubs, mine, away = hubs[at], mine[at], away[at]
+        start_of = np.flatnonzero(np.concatenate(([True], hubs[1:] != hubs[:-1])))
+        first = np.repeat(start_of, np.diff(np.append(start_of, len(hubs))))
+        a, b = mine[first], mine
+        near = (away[first] <= distance // 2) & (a != b)
         found.append((a[near], b[near]))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)

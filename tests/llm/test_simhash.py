@@ -73,3 +73,25 @@ def test_chain_and_star_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(-5, -9), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(60)} | {-5: -9, -9: -9}
+
+
+def test_links_in_large_cells_at_every_distance():
+    rng = random.Random(5)
+    fps = sorted({rng.getrandbits(7) | rng.getrandbits(6) << 20 for _ in range(400)} | {0b0110, 0b0111, 0b1010, 0b1110})
+    for distance in range(5):
+        a, b = simhash.links_in_cells(np.zeros(len(fps), np.uint64), np.array(fps, np.uint64), distance)
+        links = list(zip(a.tolist(), b.tolist()))
+        assert all((x ^ y).bit_count() <= distance for x, y in links)
+
+        def parts(pairs):
+            parent = {f: f for f in fps}
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+            for x, y in pairs:
+                lo, hi = sorted((find(x), find(y)))
+                parent[hi] = lo
+            return {f: find(f) for f in fps}
+        assert parts(links) == parts((x, y) for k, x in enumerate(fps) for y in fps[:k] if (x ^ y).bit_count() <= distance), distance
