@@ -36,16 +36,20 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, since, until) of (list, key, day, listed): listed from since on, before until (NULL: still).
 
     Of entries of one list, key and day the removal wins; a repeated state
-    opens no new interval.  The next change is looked up within the year and,
-    from a year's last entry, in the table of years, so a key with very many
-    entries is no single window.
+    opens no new interval.  The state before and the next change are looked up
+    within the year and, from a year's first and last entry, in the table of
+    years, so a key with very many entries is no single window.
     """
     days = (entries.where("list is not null and key is not null and day is not null and listed is not null")
             .groupBy("list", "key", "day").agg(F.min("listed").alias("listed")).withColumn("year", F.year("day")))
     in_year = Window.partitionBy("list", "key", "year").orderBy("day")
-    days = days.withColumn("until", F.lead("day").over(in_year)).withColumn("after", F.lead("listed").over(in_year))
-    years = (days.groupBy("list", "key", "year").agg(F.min("day").alias("first")))
     by_year = Window.partitionBy("list", "key").orderBy("year")
+    last = (days.groupBy("list", "key", "year").agg(F.max_by("listed", "day").alias("last"))
+            .select("list", "key", "year", F.lag("last").over(by_year).alias("earlier")))
+    days = (days.withColumn("before", F.lag("listed").over(in_year)).join(last, ["list", "key", "year"])
+            .where(~F.col("listed").eqNullSafe(F.coalesce("before", "earlier"))).select("list", "key", "day", "listed", "year"))
+    days = days.withColumn("until", F.lead("day").over(in_year))
+    years = (days.groupBy("list", "key", "year").agg(F.min("day").alias("first")))
     years = years.select("list", "key", "year", F.lead("first").over(by_year).alias("later"))
     return (days.join(years, ["list", "key", "year"]).where("listed")
             .select("list", "key", F.col("day").alias("since"), F.coalesce("until", "later").alias("until")))

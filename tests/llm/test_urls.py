@@ -3,7 +3,7 @@ import datetime as dt
 import duckdb
 
 from corvid.llm.q_filters import OP7_SQL, op7_temporal_url_filter
-from corvid.llm.urls import evaluate
+from corvid.llm.urls import evaluate, intervals
 
 DAY = dt.date
 
@@ -33,3 +33,13 @@ def test_as_of_and_odd_rows(spark):
     assert got == sorted(((i, *want[i]) for i, _, _ in caps), key=str)
     assert evaluate(df.limit(0), e).collect() == []
     assert not any(r["blocked"] for r in evaluate(df, e.limit(0)).collect())
+
+
+def test_repeated_listing_opens_no_interval(spark):
+    e = spark.createDataFrame([("l", "a.com", DAY(2020, 1, 1), True), ("l", "a.com", DAY(2020, 1, 5), True), ("l", "a.com", DAY(2020, 1, 9), False), ("l", "a.com", DAY(2021, 1, 1), False),
+                               ("l", "b.com", DAY(2019, 12, 1), True), ("l", "b.com", DAY(2020, 2, 1), True), ("l", "b.com", DAY(2022, 2, 1), True), ("l", "b.com", DAY(2022, 3, 1), False), ("l", "b.com", DAY(2022, 4, 1), True)],
+                              "list string, key string, day date, listed boolean")
+    assert sorted(map(tuple, intervals(e).collect()), key=str) == [
+        ("l", "a.com", DAY(2020, 1, 1), DAY(2020, 1, 9)), ("l", "b.com", DAY(2019, 12, 1), DAY(2022, 3, 1)), ("l", "b.com", DAY(2022, 4, 1), None)]
+    caps = spark.createDataFrame([(1, "http://a.com", DAY(2020, 1, 6)), (2, "http://b.com", DAY(2022, 2, 5))], "page_id long, url string, fetched date")
+    assert sorted((r["page_id"], r["n_rules"], r["since"]) for r in evaluate(caps, e).collect()) == [(1, 1, DAY(2020, 1, 1)), (2, 1, DAY(2019, 12, 1))]
