@@ -237,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The fit reads at most ``sample_docs`` documents of each class (those with
     the smallest hash of their id, of at most SAMPLE_CHARS characters); the
     class counts cover all labelled rows.  NULL labels and ids are no labels;
-    of repeated labels the larger counts.
+    of repeated labels the larger counts; of rows with one id the smallest text
+    is read.
     """
     marks = (labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull())
              .groupBy(labels[id_col].cast("long").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
@@ -252,7 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in (0, 1):
         top = ids.where(F.col("y") == y).distinct().orderBy(order, "id").limit(sample_docs)
         picked = top if picked is None else picked.unionAll(top)
-    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "y").orderBy("id", "text").collect()
+    rows = (texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+            .select("id", "text", "y").orderBy("id").collect())
     return fit([(r["text"], r["y"]) for r in rows], counts.get(0, 0), counts.get(1, 0))
 
 

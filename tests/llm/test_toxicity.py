@@ -52,3 +52,12 @@ def test_odd_rows(spark):
     got = sorted(toxicity.score_documents(docs, toxicity.train(many, marks)).collect(), key=lambda r: (r["doc_id"] or 0))
     assert [r["predicted"] for r in got] == [0, 0, 0, 1, 0, 1] and got[3]["spans"] == "8:13"
     assert toxicity.score_documents(docs.limit(0), empty).collect() == []
+
+
+def test_repeated_ids_bring_one_text_each(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample, n_clean, n_toxic: seen.extend(sample))
+    docs = spark.createDataFrame([(k % 4, f"text {k:03}") for k in range(200)] + [(None, "x")], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int"))
+    ids = [k for k in range(4) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert ids and seen == [(f"text {k:03}", k % 2) for k in ids]
