@@ -9,7 +9,9 @@ to the root: each step appends the siblings of its run and folds the leaf's
 
 A node high up is on the path of very many leaves.  Leaves climb in blocks,
 and the stored rows name the block they serve: a high node has a row for each
-block under it, so no key of the join holds more than a block.
+block under it, so no key of the join holds more than a block.  The siblings
+above a block's own top are the same for all its leaves; a climber for the
+block appends them once, while each leaf goes on folding its hash.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from corvid.operators.ranking import rank_within
 
 #: Children of a node.
 RUN = 8
-#: Leaves that climb together; a power of ``RUN``.
-BLOCK = RUN ** 2
+#: Height of a block's own top, and the leaves in it, which climb together.
+BASE = 2
+BLOCK = RUN ** BASE
 #: Columns of a leaf, in order.
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -70,14 +73,16 @@ def _levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _served(inner: DataFrame, trees: DataFrame, upper: DataFrame, groups: int) -> DataFrame:
-    """Parent-linked rows (tree, block, height, at, parent, place, children) of the nodes that lead from a block to the root.
+    """Parent-linked rows (tree, block, height, base, at, parent, place, children) of the nodes that lead from a block to the root.
 
     The nodes above a tree's subroot follow its own ones, with their heights
-    counted on from the tree's (``top``).  ``parent`` is NULL at the root.
+    counted on from the tree's (``top``).  ``base`` is the height of the
+    block's own top.  ``parent`` is NULL at the root.
     """
     size = f"cast(pow({RUN}, {{}}) AS bigint)"
+    base = F.least(F.lit(BASE), F.col("top")).alias("base")
     own = inner.join(trees, "tree").select(
-        "tree", "height", "at", "children",
+        "tree", "height", base, "at", "children",
         F.when(F.col("n") > 1, F.expr(f"at div {RUN}")).when(F.lit(groups > 1), F.expr(f"tree div {RUN}")).alias("parent"),
         F.when(F.col("n") > 1, F.col("at") % RUN).otherwise(F.col("tree") % RUN).alias("place"),
         F.expr(f"at * {size.format('height')} div {BLOCK}").alias("first"),
@@ -85,14 +90,14 @@ def _served(inner: DataFrame, trees: DataFrame, upper: DataFrame, groups: int) -
     over = (trees.withColumn("up", F.explode(F.sequence(F.lit(1), F.lit(max(1, _height(groups))))))
             .withColumn("u", F.expr(f"tree div {size.format('up')}"))
             .join(upper.select(F.col("height").alias("up"), F.col("at").alias("u"), "n", "children"), ["up", "u"])
-            .select("tree", (F.col("top") + F.col("up")).alias("height"), F.col("u").alias("at"), "children",
+            .select("tree", (F.col("top") + F.col("up")).alias("height"), base, F.col("u").alias("at"), "children",
                     F.when(F.col("n") > 1, F.expr(f"u div {RUN}")).alias("parent"), (F.col("u") % RUN).alias("place"),
                     F.lit(0).cast("long").alias("first"), F.expr(f"(leaves - 1) div {BLOCK}").alias("last")))
     # In two steps, so that neither the list of a root's blocks nor its rows are one task's.
     wide = 4096
     parts = own.unionByName(over).withColumn("start", F.explode(F.sequence("first", "last", F.lit(wide).cast("long")))).repartition("tree", "start", "height")
     return parts.withColumn("block", F.explode(F.sequence("start", F.least("last", F.col("start") + wide - 1)))).select(
-        "tree", "block", F.col("height").cast("int").alias("height"), "at", "parent", F.col("place").cast("int").alias("place"), "children")
+        "tree", "block", F.col("height").cast("int").alias("height"), "base", "at", "parent", F.col("place").cast("int").alias("place"), "children")
 
 
 def _height(n: int) -> int:
@@ -102,14 +107,16 @@ def _height(n: int) -> int:
     return height
 
 
-_CLIMB = f"""
-WITH RECURSIVE climb(tree, at, block, height, node, place, hash, siblings) MAX RECURSION LEVEL 100 AS (
-  SELECT tree, at, at div {BLOCK}, 0, parent, place, hash, X'' FROM {{leaves}}
+# ``at`` is NULL in the climber of a block, which appends the siblings above the block's top.
+_CLIMB = """
+WITH RECURSIVE climb(tree, block, at, height, node, place, hash, siblings) MAX RECURSION LEVEL 100 AS (
+  SELECT tree, block, at, height, parent, place, hash, X'' FROM {start}
   UNION ALL
-  SELECT c.tree, c.at, c.block, n.height, n.parent, n.place,
+  SELECT c.tree, c.block, c.at, n.height, n.parent, n.place,
          unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.place), c.hash, substring(n.children, 32 * c.place + 33)))), 256)),
-         concat(substring(n.children, 1, 32 * c.place), substring(n.children, 32 * c.place + 33))
-  FROM climb c JOIN {{nodes}} n ON n.tree = c.tree AND n.block = c.block AND n.height = c.height + 1 AND n.at = c.node
+         CASE WHEN (n.height > n.base) = (c.at IS NULL)
+              THEN concat(substring(n.children, 1, 32 * c.place), substring(n.children, 32 * c.place + 33)) ELSE X'' END
+  FROM climb c JOIN {nodes} n ON n.tree = c.tree AND n.block = c.block AND n.height = c.height + 1 AND n.at = c.node
   WHERE c.node IS NOT NULL)
 SELECT * FROM climb LIMIT ALL"""
 
@@ -151,13 +158,23 @@ def manifest(docs: DataFrame, columns: Sequence[str] = COLUMNS, group_col: str =
     tops = inner.groupBy("tree").agg(F.max("height").alias("top"))
     trees = written(sizes.join(tops, "tree", "left").select("tree", "leaves", F.coalesce("top", F.lit(0)).alias("top")))
     nodes = written(_served(inner, trees, upper, groups))
+    block = F.expr(f"at div {BLOCK}").alias("block")
     alone = F.col("n") == 1
-    start = placed.select("tree", "at", F.when(~alone, F.expr(f"at div {RUN}")).when(F.lit(groups > 1), F.expr(f"tree div {RUN}")).alias("parent"),
-                          F.when(alone, F.col("tree") % RUN).otherwise(F.col("at") % RUN).cast("int").alias("place"), "hash")
-    climbed = spark.sql(_CLIMB, leaves=start, nodes=nodes)
-    proofs = climbed.groupBy("tree", "at").agg(F.sort_array(F.collect_list(F.struct("height", "siblings"))).alias("steps"), F.max_by("hash", "height").alias("folded"))
-    proof = F.sha2(F.lower(F.array_join(F.transform("steps", lambda x: F.hex(x["siblings"])), "")), 256)
+    leaf = placed.select(
+        "tree", block, "at", F.lit(0).alias("height"), F.when(~alone, F.expr(f"at div {RUN}")).when(F.lit(groups > 1), F.expr(f"tree div {RUN}")).alias("parent"),
+        F.when(alone, F.col("tree") % RUN).otherwise(F.col("at") % RUN).cast("int").alias("place"), "hash", alone.alias("alone"))
+    none = lambda kind: F.lit(None).cast(kind)
+    climbers = nodes.where("height = base").select("tree", "block", none("long").alias("at"), "height", "parent", "place", none("binary").alias("hash")).unionAll(
+        leaf.where("alone").select("tree", "block", none("long"), "height", "parent", "place", none("binary")))
+    climbed = spark.sql(_CLIMB, start=leaf.drop("alone").unionAll(climbers), nodes=nodes)
+    # A leaf's rows that say something: siblings of its own, the end, and what it is.
+    own = climbed.where("at IS NOT NULL AND (node IS NULL OR length(siblings) > 0)").select(
+        "tree", "block", "at", "height", F.when(F.col("node").isNull(), F.col("hash")).alias("folded"), "siblings", none(placed.schema["id"].dataType).alias("id"), none("binary").alias("digest"))
+    rows = own.unionAll(placed.select("tree", block, "at", F.lit(-1), none("binary"), none("binary"), "id", "digest")).repartition("tree", "block")
+    joined = lambda name: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("height", F.coalesce("siblings", F.lit(b"")).alias("s")))), lambda x: F.hex(x["s"])), "").alias(name)
+    proofs = rows.groupBy("tree", "block", "at").agg(joined("low"), F.max("folded").alias("folded"), F.max("id").alias("id"), F.max("digest").alias("digest"))
+    shared = climbed.where("at IS NULL").groupBy("tree", "block").agg(joined("high"))
     text = lambda c: F.lower(F.hex(c))
-    return (placed.join(proofs, ["tree", "at"]).join(written(subroots.withColumnRenamed("digest", "subroot")), "tree")
+    return (proofs.join(shared, ["tree", "block"]).join(written(subroots.withColumnRenamed("digest", "subroot")), "tree")
             .select(F.col("id").alias(id_col), text("digest").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"),
-                    proof.alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified")))
+                    F.sha2(F.lower(F.concat("low", "high")), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified")))
