@@ -8,8 +8,15 @@
   every exclude occurrence ``[start, start + len]`` (both ends inclusive),
   else 0.  Matching is by substring, not by word.
 
-Both run per row inside codegen (higher-order array functions, ``rlike``);
-no Python runs except for the rare phrase that overlaps itself.
+All phrases of a lexicon are found in one pass over a text: they are folded
+into one trie, written as a look-ahead expression that is tried once at each
+place and returns the longest phrase that starts there; the shorter ones that
+start there too are its prefixes, known beforehand.  Only a text that holds
+both an include and an exclude phrase of a key is looked at again, for their
+places.
+
+Both run per row inside codegen (higher-order array functions, ``rlike``); no
+Python runs.
 """
 
 from __future__ import annotations
@@ -222,11 +229,35 @@ def _guards(phrase: str, exclude: Sequence[str]) -> str:
 
 def phrase_regex(entry: PhraseKey) -> str:
     """TX12: one Java regex per key; ``rlike`` finds an include occurrence
-    whose start no exclude occurrence covers."""
-    alts = [_guards(p, entry.exclude) + re.escape(p) for p in dict.fromkeys(entry.include)]
+    whose start no exclude occurrence covers.  The phrase is looked for
+    before its guards, which cost more."""
+    alts = [f"(?={re.escape(p)}){_guards(p, entry.exclude)}" for p in dict.fromkeys(entry.include)]
     return "|".join(alts)
 
 
+def trie_regex(phrases: Sequence[str]) -> str:
+    """A regex that matches the longest of ``phrases`` at a place, character by character through their trie."""
+    root: dict = {}
+    for p in phrases:
+        node = root
+        for ch in p:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        ways = [re.escape(ch) + text(node[ch]) for ch in sorted(node) if ch]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+        return f"(?:{body})?" if "" in node else body
+    return text(root)
+
+
+def phrases_found(text: Column, phrases: Sequence[str]) -> Column:
+    """The longest of ``phrases`` at each place where one starts, each text once; overlaps count."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({trie_regex(phrases)}))"), 1))
+
+
 def needs_scan(entry: PhraseKey) -> bool:
     """Self-overlapping phrases make left-to-right scanning skip starts; only
     then does the exact answer need the scan below instead of a regex."""
@@ -258,48 +289,54 @@ def _starts(text: Column, phrase: str) -> Column:
 
 
 def _scan(text: Column, entry: PhraseKey) -> Column:
-    """``scan_flag`` in built-in functions; texts without an include phrase are not scanned."""
-    some = None
-    for p in dict.fromkeys(entry.include):
-        some = text.contains(p) if some is None else some | text.contains(p)
+    """``scan_flag`` in built-in functions."""
     starts = F.concat(*[_starts(text, p) for p in dict.fromkeys(entry.include)])
     spans = F.concat(*[_spans(text, e) for e in dict.fromkeys(entry.exclude)])
     free = F.element_at(F.transform(F.array(spans), lambda xs: F.exists(
         starts, lambda s: ~F.exists(xs, lambda x: (x["lo"] <= s) & (s <= x["hi"])))), 1)
-    return F.coalesce(F.when(some, free.cast("int")), F.lit(0))
+    return free.cast("int")
 
 
 def _spans(text: Column, phrase: str) -> Column:
     return F.transform(_starts(text, phrase), lambda s: F.struct(s.alias("lo"), (s + len(phrase)).alias("hi")))
 
 
-def phrase_flag(text: Column, entry: PhraseKey, word_boundary: bool = False) -> Column:
-    """TX12 for one key.  ``word_boundary`` (Q21) lets phrases match whole
-    words only: with a boundary at both ends, occurrences are found as runs
-    of words, so the text and every phrase are padded by one space."""
+def phrase_flag(text: Column, found: Column, entry: PhraseKey, phrases: Sequence[str]) -> Column:
+    """TX12 for one key, given the phrases ``found`` in the text out of ``phrases``."""
+    def some(wanted: Sequence[str]) -> Column:
+        # A phrase found stands for all that start like it.
+        marks = [p for p in phrases if p.startswith(tuple(wanted))]
+        return F.arrays_overlap(found, F.array(*[F.lit(p) for p in marks]))
     if not entry.include:
         return F.lit(0)
-    if word_boundary:
-        spaced = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), "[^a-zA-Z0-9]+", "  ")
-        pad = lambda ps: tuple(f" {' '.join(re.findall('[a-zA-Z0-9]+', p)).replace(' ', '  ')} " for p in ps)
-        return phrase_flag(spaced, PhraseKey(entry.key, pad(entry.include), pad(entry.exclude)))
+    hit = some(entry.include)
     if not entry.exclude:
-        cond = None
-        for p in dict.fromkeys(entry.include):
-            term = text.contains(p)
-            cond = term if cond is None else cond | term
-        return F.coalesce(cond.cast("int"), F.lit(0))
-    if needs_scan(entry):
-        return _scan(text, entry)
-    return F.coalesce(text.rlike(phrase_regex(entry)).cast("int"), F.lit(0))
+        return F.coalesce(hit.cast("int"), F.lit(0))
+    exact = _scan(text, entry) if needs_scan(entry) else text.rlike(phrase_regex(entry)).cast("int")
+    return F.when(~F.coalesce(hit, F.lit(False)), F.lit(0)).when(~some(entry.exclude), F.lit(1)).otherwise(exact)
 
 
 def phrase_flags(df: DataFrame, text_col: str, lexicon: Sequence[PhraseKey] = PHRASE_LEXICON,
                  keep: Sequence[str] = (), word_boundary: bool = False) -> DataFrame:
-    """TX13: one 0/1 column per key (keys in sorted order)."""
+    """TX13: one 0/1 column per key (keys in sorted order); a NULL text has no phrase.
+
+    ``word_boundary`` (Q21) lets phrases match whole words only: with a
+    boundary at both ends, occurrences are found as runs of words, so the
+    text and every phrase are padded by one space.
+    """
+    if any(not p for e in lexicon for p in (*e.include, *e.exclude)):
+        raise ValueError("an empty phrase")
     text = F.col(text_col)
-    return df.select(*keep, *[phrase_flag(text, e, word_boundary).alias(e.key)
-                              for e in sorted(lexicon, key=lambda e: e.key)])
+    if word_boundary:
+        text = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), "[^a-zA-Z0-9]+", "  ")
+        pad = lambda ps: tuple(f" {'  '.join(re.findall('[a-zA-Z0-9]+', p))} " for p in ps)
+        lexicon = [PhraseKey(e.key, pad(e.include), pad(e.exclude)) for e in lexicon]
+    phrases = sorted({p for e in lexicon for p in (*e.include, *e.exclude)})
+    staged = df.select(*keep, text.alias("_text"))
+    if phrases:
+        staged = staged.withColumn("_found", phrases_found(F.col("_text"), phrases))
+    return staged.select(*keep, *[phrase_flag(F.col("_text"), F.col("_found"), e, phrases).alias(e.key)
+                                  for e in sorted(lexicon, key=lambda e: e.key)])
 
 
 # -- lint --------------------------------------------------------------------

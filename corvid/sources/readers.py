@@ -58,16 +58,20 @@ def load_value_from_path(df: DataFrame, pattern: str, name: str = "load_date") -
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
-def spread_for_cpu(df: DataFrame, factor: int = 2, below: int = 2) -> DataFrame:
-    """Spread a scan that arrives as one unsplittable file before CPU-heavy
-    per-row work (regexes over whole texts).
-
-    Only a scan of fewer than ``below`` splits is dealt out again, over
-    ``factor`` times the cluster's parallelism; a table of several splits is
-    left alone on any cluster (a lower ``spark.sql.files.maxPartitionBytes``
-    spreads it without a shuffle).  Planning the splits lists files on the
-    driver but runs no job.
+def spread_for_cpu(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Deal a scan out before CPU-heavy per-row work (regexes over whole texts) if it would leave cores idle.
+
+    Spark cuts a file into splits by bytes, but a Parquet row group goes whole
+    to the split that holds its middle, so a file of few row groups has rows in
+    few splits.  A scan planned as more than ``factor`` splits per core is
+    big enough to keep all cores busy and is left alone.  A smaller one is
+    asked how many of its splits hold rows, from the file footers only; where
+    these are fewer than the cores, the rows are dealt out over ``factor``
+    partitions per core.  A table that is shuffled here is small: at most
+    ``factor`` splits (``spark.sql.files.maxPartitionBytes``) per core.
     """
-    if df.rdd.getNumPartitions() >= below:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > factor * cores:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * factor)
+    busy = df.select(F.spark_partition_id().alias("split")).distinct().count()
+    return df if busy >= cores else df.repartition(factor * cores)

@@ -53,8 +53,25 @@ def test_observed_count_needs_no_extra_job(spark):
     assert obs.get["rows"] == 5
 
 
-def test_spread_only_when_few_splits(spark):
+def test_spread_by_splits_that_hold_rows(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
     one = spark.range(0, 100, numPartitions=1)
-    many = spark.range(0, 100, numPartitions=64)
-    assert spread_for_cpu(one).rdd.getNumPartitions() > 1
-    assert spread_for_cpu(many).rdd.getNumPartitions() == 64
+    many = spark.range(0, 100_000, numPartitions=8 * cores)
+    assert spread_for_cpu(one).rdd.getNumPartitions() == 2 * cores
+    assert spread_for_cpu(many).rdd.getNumPartitions() == 8 * cores
+    # One row group in one file that is planned as several splits: all rows are in one of them.
+    spark.range(400_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("t")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        scan = read_parquet(spark, str(tmp_path / "one"))
+        assert scan.rdd.getNumPartitions() > 1 and scan.select(F.spark_partition_id()).distinct().count() == 1
+        dealt = spread_for_cpu(scan.limit(10**9) if scan.rdd.getNumPartitions() > 2 * cores else scan)
+        assert dealt.select(F.spark_partition_id()).distinct().count() > cores
+        # Enough row groups: no exchange.
+        spark.range(100_000).repartition(2 * cores).write.parquet(str(tmp_path / "many"))
+        assert "Exchange" not in spread_for_cpu(read_parquet(spark, str(tmp_path / "many")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.id for r in spread_for_cpu(one).collect()) == list(range(100))

@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corvid.operators import lexicon as lx
 from corvid.operators import notes as nt
 from corvid.operators import words as wd
@@ -141,6 +143,32 @@ def test_self_overlapping_phrase_uses_exact_scan(spark):
     assert got == [lx.scan_flag(t, e) for t in texts]
 
 
+def test_trie_finds_what_single_searches_find(spark):
+    rng = random.Random(3)
+    phrases = ["a", "ab", "abc", "b", "bca", "ca.", "c+", "a b", "aab", "(c", "ü", "🙂", "\\d"]
+    texts = ["".join(rng.choice(["a", "b", "c", ".", "+", " ", "(", "ü", "🙂", "\\", "d", "\n"]) for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    for r in df.select("i", "t", lx.phrases_found(F.col("t"), phrases).alias("f")).collect():
+        longest = {max((p for p in phrases if r.t.startswith(p, k)), key=len, default=None) for k in range(len(r.t))} - {None} if r.t is not None else None
+        assert (set(r.f) if r.f is not None else None) == longest, r.t
+    keys = [lx.PhraseKey(f"k{j}", tuple(rng.sample(phrases, 3)), tuple(rng.sample(phrases, j % 3))) for j in range(12)]
+    for r in lx.phrase_flags(df, "t", keys, keep=["i"]).collect():
+        for e in keys:
+            assert r[e.key] == lx.scan_flag(texts[r.i] if r.i < len(texts) else None, e), (texts[r.i], e)
+
+
+def test_domain_lexicon_on_built_texts(spark):
+    rng = random.Random(4)
+    words = [p for e in lx.PHRASE_LEXICON for p in (*e.include, *e.exclude)]
+    texts = ["".join(rng.choice(words)[rng.randint(0, 3):] + rng.choice(["", " ", "s", " x "]) for _ in range(rng.randint(0, 8))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in lx.phrase_flags(df, "t", keep=["i"]).collect():
+        assert [r[e.key] for e in lx.PHRASE_LEXICON] == [lx.scan_flag(texts[r.i], e) for e in lx.PHRASE_LEXICON], texts[r.i]
+    assert lx.phrase_flags(df, "t", [lx.PhraseKey("none", ())], keep=["i"]).agg({"none": "max"}).first()[0] == 0
+    with pytest.raises(ValueError):
+        lx.phrase_flags(df, "t", [lx.PhraseKey("empty", ("",))])
+
+
 def test_lint_finds_unreachable_entries():
     issues = lx.lint()
     entries = {w for _, w, _ in issues}
