@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from corvid.plans import q_balance, q_claims, q_loss, q_model, q_quality, q_sources, q_text  # noqa: F401
+    from corvid.plans import q_balance, q_claims, q_learners, q_loss, q_model, q_quality, q_sources, q_text  # noqa: F401

@@ -47,9 +47,9 @@ def folds(spark: SparkSession, d: str, k: int = 5, rows_per_bucket: int | None =
     return ev.stratified_folds(labels, LABEL, ID, k=k, **kw)
 
 
-def fold_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Matrix rows with their fold, as (doc_id, features vector, label, fold)."""
-    m = matrix(spark, d).join(folds(spark, d).select(ID, "fold"), ID)
+def fold_matrix(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
+    """Matrix rows (``made``, if given) with their fold, as (doc_id, features vector, label, fold)."""
+    m = (made or matrix(spark, d)).join(folds(spark, d).select(ID, "fold"), ID)
     return mx.assemble(m, MATRIX_FEATURES, LABEL, keep=[ID, "fold"])
 
 
@@ -62,24 +62,25 @@ def gnb_confusion(spark: SparkSession, d: str) -> DataFrame:
     return _gnb_counts(fold_matrix(spark, d))
 
 
-def gnb_scores(spark: SparkSession, d: str) -> DataFrame:
-    return ev.mean_scores(ev.fold_scores(gnb_confusion(spark, d)))
+def gnb_scores(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
+    return ev.mean_scores(ev.fold_scores(_gnb_counts(fold_matrix(spark, d, made))))
 
 
-def gnb_scores_smote(spark: SparkSession, d: str) -> DataFrame:
+def gnb_scores_smote(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """ML1 + ML3: the same scores on the set oversampled 1:1 before folding."""
-    return ev.mean_scores(ev.fold_scores(_gnb_counts(smote_fold_matrix(spark, d))))
+    return ev.mean_scores(ev.fold_scores(_gnb_counts(smote_fold_matrix(spark, d, made=made))))
 
 
-def gnb_scores_smotenc(spark: SparkSession, d: str) -> DataFrame:
+def gnb_scores_smotenc(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """ML2 + ML13: the same scores on the mixed-type oversampled set."""
-    return ev.mean_scores(ev.fold_scores(_gnb_counts(smotenc_fold_matrix(spark, d))))
+    return ev.mean_scores(ev.fold_scores(_gnb_counts(smotenc_fold_matrix(spark, d, made=made))))
 
 
 def best_model(spark: SparkSession, d: str) -> DataFrame:
     """AG18 + AG19: score table and best variant of one learner on the plain and the two oversampled sets."""
     names = ("Plain", "Oversampled", "Mixed-type oversampled")
-    parts = [f(spark, d).withColumn("model", F.lit(n)) for n, f in zip(names, (gnb_scores, gnb_scores_smote, gnb_scores_smotenc))]
+    made = matrix(spark, d).checkpoint()   # the text features of all three
+    parts = [f(spark, d, made).withColumn("model", F.lit(n)) for n, f in zip(names, (gnb_scores, gnb_scores_smote, gnb_scores_smotenc))]
     return ev.score_table(parts[0].unionByName(parts[1]).unionByName(parts[2]), names)
 
 
@@ -105,23 +106,23 @@ def _balanced_folds(bal: DataFrame, k: int) -> DataFrame:
     return ev.stratified_folds(bal.withColumn("_ord", order), LABEL, "_ord", k)
 
 
-def smote_fold_matrix(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+def smote_fold_matrix(spark: SparkSession, d: str, k: int = 5, made: DataFrame | None = None) -> DataFrame:
     """ML1 then WN5: the matrix oversampled 1:1 before folding (the source
     flow; synthetic rows reach the test folds, Q28)."""
-    bal = bl.smote(_as_arrays(matrix(spark, d)), ID, "_x", LABEL, **SMOTE)
+    bal = bl.smote(_as_arrays(made or matrix(spark, d)), ID, "_x", LABEL, **SMOTE)
     folded = _balanced_folds(bal, k)
     return folded.select(array_to_vector("_x").alias("features"),
                          F.col(LABEL).cast("double").alias("label"), "fold")
 
 
-def smotenc_rows(spark: SparkSession, d: str) -> DataFrame:
+def smotenc_rows(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """ML2: originals and synthetic rows of the matrix."""
-    return bl.smote_nc(matrix(spark, d), ID, NC_CONTINUOUS, NC_CATEGORICAL, LABEL, **SMOTE_NC)
+    return bl.smote_nc(made or matrix(spark, d), ID, NC_CONTINUOUS, NC_CATEGORICAL, LABEL, **SMOTE_NC)
 
 
-def smotenc_fold_matrix(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+def smotenc_fold_matrix(spark: SparkSession, d: str, k: int = 5, made: DataFrame | None = None) -> DataFrame:
     """ML2 then WN5: mixed-type oversampling to minority/majority 0.2."""
-    folded = _balanced_folds(smotenc_rows(spark, d), k)
+    folded = _balanced_folds(smotenc_rows(spark, d, made), k)
     return mx.assemble(folded, MATRIX_FEATURES, LABEL, keep=["fold"])
 
 

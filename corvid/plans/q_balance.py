@@ -41,6 +41,21 @@ def knn_minority(spark, d):
     return nn.select("id", "nbr", "rank", F.round("dist", 6).alias("dist"))
 
 
+@register("knn_mixed", """
+WITH m AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT a.vec_id AS id, b.vec_id AS nbr, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))
+                                                   + CASE WHEN a.label IS DISTINCT FROM b.label THEN 0.25 ELSE 0 END) AS dist
+      FROM m a JOIN m b ON a.vec_id <> b.vec_id)
+SELECT id, nbr, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d)
+WHERE rank <= 5""")
+def knn_mixed(spark, d):
+    """JN7 + WN4: exact 5 nearest neighbours among all embeddings, in blocks of 64, another label adding a quarter to the squared distance."""
+    pts = b.table(spark, d, "embeddings").select("vec_id", "embedding", F.array(F.col("label").cast("long")).alias("codes"))
+    nn = bl.knn(pts, "vec_id", "embedding", K, 64, "codes", 0.25)
+    return nn.select("id", "nbr", "rank", F.round("dist", 6).alias("dist"))
+
+
 @register("smote_counts", """
 WITH c AS (SELECT CAST(label = 0 AS INTEGER) AS y, count(*) AS n FROM embeddings GROUP BY 1)
 SELECT y, CASE WHEN n = (SELECT min(n) FROM c) THEN (SELECT max(n) FROM c) ELSE n END AS n FROM c""")
