@@ -4,18 +4,23 @@ FL15, AG11, AG12, JN5, JN6, TX1-TX3, PJ6, PJ8)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corvid.session import written
+
 NOTE_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 # Boilerplate note prefixes (matched case-sensitively, before
 # lower-casing) and the default text for a missing note.
 BOILERPLATE_PREFIXES = ("Blackboard", "Initial Utterance")
 MISSING_NOTE = "no note"
+#: Notes of one key that a task joins at most.
+ROWS_PER_TASK = 100_000
 # Characters kept by the text clean (regex class body).
 KEPT = "a-zA-Z0-9."
 
@@ -45,21 +50,49 @@ def not_boilerplate(col: str, prefixes: Sequence[str] = BOILERPLATE_PREFIXES) ->
 
 def ordered_concat(texts: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                    text_col: str, sep: str = "~", count_name: str = "number_of_notes",
-                   count_col: str | None = None) -> DataFrame:
+                   count_col: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """AG11 + AG12: per key, the number of notes and their texts joined by
     ``sep`` in ``order_cols`` order (ascending, NULLs first; the text itself
     breaks remaining ties).  NULL texts are skipped by the join but counted
     like the source did (``count(count_col)``).
 
-    ``collect_list`` is combined map-side; only the group's own texts, which
-    make up the output value, meet in the final task.
+    The notes of a key meet in one task.  A key of more than
+    ``rows_per_task`` notes is joined in two levels instead: its notes are cut
+    into ranges of the order, each range is joined by a task of its own, and
+    the last task joins one string per range.  Finding such keys reads the
+    key columns only; without them the plan is the simple one.
     """
-    parts = F.struct(*[F.col(c) for c in order_cols], F.col(text_col).alias("_t"))
-    agg = texts.groupBy(*keys).agg(
-        F.count(F.col(count_col or keys[0])).alias(count_name),
-        F.array_sort(F.collect_list(parts)).alias("_parts"))
-    return agg.select(*keys, count_name,
-                      F.concat_ws(sep, F.transform("_parts", lambda s: s["_t"])).alias(text_col))
+    texts = texts.select(*dict.fromkeys([*keys, *order_cols, text_col, *([count_col] if count_col else [])]))
+    counted = F.col(count_col or keys[0])
+    of_key = lambda name: [F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)]
+    many = written(texts.groupBy(*keys).count().where(F.col("count") > rows_per_task).select(*of_key("_k"), "count"))
+    whole, out = texts, None
+    if not many.isEmpty():
+        same = None
+        for i, k in enumerate(keys):
+            term = texts[k].eqNullSafe(many[f"_k{i}"])
+            same = term if same is None else same & term
+        whole = texts.join(many, same, "left_anti")
+        parts = math.ceil(many.agg(F.sum("count")).first()[0] / rows_per_task)
+        ranges = ordered_ranges(texts.join(many, same, "left_semi"), keys, [*order_cols, text_col], parts)
+        joined = _joined(ranges, [*keys, "_range"], order_cols, text_col, sep, counted)
+        # Ranges without a text would leave an empty piece between two separators.
+        pieces = F.array_sort(F.collect_list(F.when(F.col("_some") > 0, F.struct("_range", "_text"))))
+        out = joined.groupBy(*keys).agg(F.sum("_n").alias(count_name), F.concat_ws(sep, F.transform(pieces, lambda s: s["_text"])).alias(text_col))
+    simple = _joined(whole, keys, order_cols, text_col, sep, counted).select(*keys, F.col("_n").alias(count_name), F.col("_text").alias(text_col))
+    return simple if out is None else simple.unionByName(out)
+
+
+def ordered_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
+    """``rows`` in ``parts`` ranges of (keys, order), with the range's number ``_range``."""
+    return rows.repartitionByRange(max(1, parts), *dict.fromkeys([*keys, *order])).withColumn("_range", F.spark_partition_id())
+
+
+def _joined(rows: DataFrame, keys: Sequence[str], order_cols: Sequence[str], text_col: str, sep: str, counted: Column) -> DataFrame:
+    """(keys, _n, _some, _text): rows counted, texts that are not NULL, and these joined in order."""
+    parts = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)], F.col(text_col).alias("_t"))
+    agg = rows.groupBy(*keys).agg(F.count(counted).alias("_n"), F.count(text_col).alias("_some"), F.array_sort(F.collect_list(parts)).alias("_parts"))
+    return agg.select(*keys, "_n", "_some", F.concat_ws(sep, F.transform("_parts", lambda s: s["_t"])).alias("_text"))
 
 
 def notes_same_day(master: DataFrame, notes: DataFrame, key: str = "claim_number",

@@ -60,6 +60,26 @@ def motor_one_per_claim(spark: SparkSession, d: str) -> DataFrame:
     return spine.one_row_per_key(piv, ["claim_number"])
 
 
+def checkpoint_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AG9: the row counts that the source takes between the steps of flow A,
+    all from one execution: each step carries an observed count, filled in
+    while the last step runs."""
+    seen = []
+
+    def step(name: str, df: DataFrame) -> DataFrame:
+        df, obs = quality.counted(df, name)
+        seen.append((name, obs))
+        return df
+    claims = step("claim_spine", claim_spine(spark, d))
+    with_claimants = step("claimants_attached", spine.attach(claims, b.claimants(spark, d), on=JOIN_KEYS, columns=b.CLAIMANT_COLUMNS,
+                                                             how="left", inputs_distinct=True))
+    features = step("payment_features", payment_features(spark, d))
+    pivot = step("payment_pivot", pay.pivot_payments(with_claimants, features))
+    last = step("one_row_per_claim", spine.one_row_per_key(pivot.filter(F.col("lob").isin(list(b.BINDING.lobs))), ["claim_number"]))
+    last.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(i, name, obs.get["rows"]) for i, (name, obs) in enumerate(seen)], "step int, name string, n_rows long")
+
+
 # -- flow B ------------------------------------------------------------------
 
 def motor_payments(spark: SparkSession, d: str) -> DataFrame:

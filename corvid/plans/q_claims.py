@@ -66,6 +66,17 @@ def one_row_per_claim(spark, d):
     return flow.motor_one_per_claim(spark, d)
 
 
+@register("checkpoint_counts", _A + f"""
+SELECT 0 AS step, 'claim_spine' AS name, (SELECT count(*) FROM spine) AS n_rows
+UNION ALL SELECT 1, 'claimants_attached', (SELECT count(*) FROM spine2)
+UNION ALL SELECT 2, 'payment_features', (SELECT count(*) FROM feat)
+UNION ALL SELECT 3, 'payment_pivot', (SELECT count(*) FROM flagged)
+UNION ALL SELECT 4, 'one_row_per_claim', (SELECT count(DISTINCT claim_number) FROM flagged WHERE lob IN {o.LOBS})""")
+def checkpoint_counts(spark, d):
+    """AG9: the counts between the steps of flow A, observed along one run."""
+    return flow.checkpoint_counts(spark, d)
+
+
 @register("duplicate_keys", o.with_(o.CLAIMS, o.CLAIMANTS, o.SPINE, o.SPINE2) + """
 SELECT * EXCLUDE (dupe_count) FROM (
   SELECT *, count(claim_number) OVER (PARTITION BY claim_number, data_source) AS dupe_count

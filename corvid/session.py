@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC wall clock (the test tables hold
 # timestamp_ntz values compared with dates), adaptive execution for runtime
@@ -27,6 +28,11 @@ _BASE_CONF = {
 }
 
 
+def is_local(master: str) -> bool:
+    """One process: ``local``, ``local[n]``, but not ``local-cluster``."""
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def get_spark(master: str | None = None, app: str = "corvid",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
@@ -42,7 +48,7 @@ def get_spark(master: str | None = None, app: str = "corvid",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
-    if master and master.startswith("local") and not conf.get("spark.checkpoint.dir"):
+    if master and is_local(master) and not conf.get("spark.checkpoint.dir"):
         # Local runs only: a cluster names its shared folder in the conf.
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(
             prefix="corvid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -64,10 +70,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     conf_dir = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not conf_dir:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        if not is_local(sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="corvid-ckpt-",
                                     dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` computed once, as Parquet in the shared folder, so that Spark knows its size and every read gets the same rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

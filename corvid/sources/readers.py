@@ -28,18 +28,28 @@ def refresh_table(spark: SparkSession, name: str) -> None:
     spark.catalog.refreshTable(name)
 
 
-def read_csv_strings(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+#: Private-use character that stands for a quoted empty field while a CSV file is read.
+_EMPTY = "\uE000"
+
+
+def read_csv_strings(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """SC5: CSV with a header row, every column a string (no inference pass).
 
     With ``columns`` the schema is declared up front, which avoids the extra
-    job Spark runs to read the header.
+    job Spark runs to read the header.  Quotes inside a quoted value are
+    doubled; an empty field is NULL and a quoted empty one is empty.
+    ``multi_line`` allows line feeds inside quotes; a file is then read whole
+    by one task, so such extracts should come as many files.
     """
-    reader = spark.read.option("header", "true")
+    # Spark reads a quoted empty field as its emptyValue, and an emptyValue that equals nullValue as NULL.
+    reader = (spark.read.option("header", "true").option("escape", '"').option("multiLine", multi_line)
+              .option("emptyValue", _EMPTY))
     if columns:
         reader = reader.schema(StructType.fromJson(
             {"type": "struct", "fields": [
                 {"name": n, "type": "string", "nullable": True, "metadata": {}} for n in columns]}))
-    return reader.csv(path)
+    df = reader.csv(path)
+    return df.select(*[F.when(F.col(f"`{c}`") == _EMPTY, F.lit("")).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def latest_snapshot(df: DataFrame, load_col: str) -> DataFrame:
@@ -53,6 +63,22 @@ def latest_snapshot(df: DataFrame, load_col: str) -> DataFrame:
     return (df.join(newest, F.col(load_col) == F.col("_newest"), "left_semi"))
 
 
+def latest_partition(spark: SparkSession, path: str, name: str = "load_date") -> DataFrame:
+    """SC4: the newest load of a Parquet table in ``name=value`` folders.
+
+    The folder names are listed once and the last one by name is read; no
+    file of another load is listed or opened.  A default (NULL) partition is
+    never the latest.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    loads = sorted(n for n in (s.getPath().getName() for s in listed if s.isDirectory())
+                   if n.startswith(f"{name}=") and not n.endswith("__HIVE_DEFAULT_PARTITION__"))
+    if not loads:
+        raise ValueError(f"no {name}= folder in {path}")
+    return spark.read.option("basePath", path).parquet(f"{path}/{loads[-1]}")
+
+
 def load_value_from_path(df: DataFrame, pattern: str, name: str = "load_date") -> DataFrame:
     """SC4 helper: derive the load folder name from each row's source file."""
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))

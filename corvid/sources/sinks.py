@@ -15,3 +15,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a header that ``read_csv_strings`` reads back unchanged (NULL, empty, quotes, blanks, line feeds)."""
+    (df.write.mode(mode).option("header", "true").option("escape", '"').option("emptyValue", '""')
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))

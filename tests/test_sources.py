@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvid.operators import quality
-from corvid.sources import (latest_snapshot, load_value_from_path, read_csv_strings, read_parquet,
-                            read_table, refresh_table, spread_for_cpu, write_parquet)
+from corvid.sources import (latest_partition, latest_snapshot, load_value_from_path, read_csv_strings, read_parquet,
+                            read_table, refresh_table, spread_for_cpu, write_csv, write_parquet)
 
 
 def test_csv_all_strings(spark, tmp_path):
@@ -28,6 +28,42 @@ def test_table_scan_refresh_and_fallback(spark, tmp_path):
     assert read_table(spark, "corvid_tmp_view").count() == 3
 
 
+def test_refresh_shows_files_added_behind_the_catalog(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    spark.sql(f"CREATE TABLE corvid_refresh_test USING parquet LOCATION '{path}'")
+    try:
+        assert read_table(spark, "corvid_refresh_test").count() == 3
+        pq.write_table(pa.table({"id": [7, 8]}), f"{path}/part-added.parquet")
+        assert read_table(spark, "corvid_refresh_test").count() == 3
+        refresh_table(spark, "corvid_refresh_test")
+        assert read_table(spark, "corvid_refresh_test").count() == 5
+    finally:
+        spark.sql("DROP TABLE corvid_refresh_test")
+
+
+def test_csv_files_read_back_unchanged(spark, tmp_path):
+    rows = [("1", None, ""), ("2", ' "q", x ', "a\nb"), ("3", "", None), ("4", '""', ",\n,"), ("5", "back\\slash", " ")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    write_csv(df.repartition(2), str(tmp_path / "c"))
+    for columns in (["a", "b", "c"], None):
+        got = read_csv_strings(spark, str(tmp_path / "c"), columns, multi_line=True)
+        assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_latest_partition_reads_one_folder(spark, tmp_path):
+    path = str(tmp_path / "loads")
+    days = ["20201001", "20201110", "20200930", None]
+    write_parquet(spark.range(40).withColumn("load_date", F.element_at(F.array(*[F.lit(x) for x in days]), (F.col("id") % 4 + 1).cast("int"))), path, ["load_date"])
+    got = latest_partition(spark, path, "load_date")
+    assert sorted((r["id"], str(r["load_date"])) for r in got.collect()) == [(k, "20201110") for k in range(1, 40, 4)]
+    assert all("load_date=20201110" in f for f in got.inputFiles())
+    with pytest.raises(ValueError):
+        latest_partition(spark, path, "other")
+
+
 def test_latest_snapshot_from_folders(spark, tmp_path):
     base = tmp_path / "loads"
     for day, n in (("20201001", 2), ("20201110", 3)):

@@ -51,6 +51,23 @@ def test_clean_text_rules(spark):
     assert out == [" hello world v1.2 ", "no note"]   # no trim
 
 
+def test_concat_of_a_hot_claim_by_ranges(spark):
+    """A claim with a third of all notes is joined by ranges; the result is that of the simple plan."""
+    rng = random.Random(8)
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 and k < 400 else k % 50, rng.choice([None, *range(40)]), rng.choice(["x", "yy", None, "", f"n{k}"])) for k in range(900)]
+    df = spark.createDataFrame(rows, "claim int, at int, note string").repartition(5)
+    simple = sorted(map(tuple, nt.ordered_concat(df, ["claim"], ["at"], "note").collect()), key=str)
+    for per in (10, 40):
+        assert sorted(map(tuple, nt.ordered_concat(df, ["claim"], ["at"], "note", rows_per_task=per).collect()), key=str) == simple
+    hot = nt.ordered_ranges(df.where("claim = 7"), ["claim"], ["at", "note"], 8).groupBy("claim", "_range").count().collect()
+    assert len(hot) >= 6 and max(r["count"] for r in hot) <= 3 * 300 / 8
+    by_claim = {}
+    for c, a, t in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] is None, r[2] or "")):
+        by_claim.setdefault(c, []).append(t)
+    assert {c: t for c, _, t in simple} == {c: "~".join(t for t in ts if t is not None) for c, ts in by_claim.items()}
+    assert {c: n for c, n, _ in simple} == {c: len(ts) if c is not None else 0 for c, ts in by_claim.items()}
+
+
 def test_word_count_split_and_stop_words(spark):
     df = spark.createDataFrame([(" The cat\tthe\nCAT dog ",), (None,)], "t string")
     plain = {r.word: r["count"] for r in wd.word_count(df, "t").collect()}
