@@ -21,9 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.operators.ranking import rank_within
+
 #: Unique key of an input row; carried beside the caller's id column.
 ROW = "__row"
 
@@ -61,22 +64,53 @@ def stable(docs: DataFrame) -> DataFrame:
     return docs.checkpoint() if wide else docs
 
 
-def written(docs: DataFrame) -> DataFrame:
-    """``docs`` computed once, as Parquet in the shared folder: its row numbers are the same for every later read."""
-    path = scratch(docs.sparkSession, "rows")
+def written(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``docs`` computed once, as Parquet in the shared folder (a new one): every later read gets the same rows, and Spark knows its size."""
+    path = path or scratch(docs.sparkSession, "rows")
     docs.write.parquet(path)
     return docs.sparkSession.read.schema(docs.schema).parquet(path)
 
 
-def numbered_once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """``numbered`` for more than one read.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``scratch`` that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a Parquet scan with projections and filters only, so that a row of a file gives one row at most."""
+    lines = docs._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
+    names = [re.match(r"[\s:+|-]*(\w+)", line) for line in lines]
+    return all(m and m[1] in ("Project", "Filter", "Relation") for m in names) and lines[-1].rstrip().endswith("parquet")
+
+
+def row_keys(docs: DataFrame, name: str = ROW) -> DataFrame:
+    """``docs`` with a unique long per row that every later read gives again.
 
     The splits of a scan follow the cores that are registered when an action
-    starts, so numbers of a scan hold for one action only and are written.  A
-    caller's ``row_col`` must not depend on the splits.
+    starts, so numbers of a scan's partitions hold for one action only.  A row
+    of a Parquet scan is named by its file and its place there; files are
+    numbered in a small table, written once.  Any other frame is written.
     """
-    rows = numbered(docs, id_col, text_col, row_col)
-    return written(rows) if row_col is None else stable(rows)
+    if _is_scan(docs):
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+            paths = docs.select(F.col("_metadata.file_path").alias("__path")).distinct()
+        except AnalysisException:
+            pass
+        else:
+            # One row a file; a place in a file has 38 bits, so there may be 2^25 files.
+            files = written(rank_within(paths, [], ["__path"], "__no"))
+            return (placed.join(files, F.col("__file") == F.col("__path"))
+                    .select(*docs.columns, (F.expr("shiftleft(__no, 38)") + F.col("__at")).alias(name)))
+    return written(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
+def numbered_once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``numbered`` for more than one read; a caller's ``row_col`` must not depend on the splits."""
+    if row_col is None:
+        docs, row_col = row_keys(docs), ROW
+    return numbered(docs, id_col, text_col, row_col)
 
 
 def crc_mod(id_column: Column, divisor: int) -> Column:

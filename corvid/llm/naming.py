@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import numbered_once
+from corvid.llm.common import numbered, remove, scratch, written
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -92,11 +92,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts; the joins back carry names and rows only and are left to skew
     splitting.
     """
-    rows = numbered_once(docs, id_col, text_col, row_col)
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "normalised")
     plain = F.regexp_replace("text", BLANK, "")
-    base = rows.select("row", "id", F.length("text").alias("size"), F.sha2(plain, 256).alias("text_sha256")).checkpoint()
-    names = identities(rows.select("row", plain.cast("binary").alias("body")), block)
-    all_ = base.join(names, "row").checkpoint()
+    try:
+        # White space is deleted once; what follows reads the normalised texts.
+        rows = written(numbered(docs, id_col, text_col, row_col).select(
+            "row", "id", F.length("text").alias("size"), F.sha2(plain, 256).alias("text_sha256"), plain.cast("binary").alias("body")), path)
+        names = identities(rows.select("row", "body"), block)
+        all_ = rows.drop("body").join(names, "row").checkpoint()
+    finally:
+        remove(spark, path)
     group = ["levels", "name"]
     # The row that stays, combined before the shuffle.  Its table is written, so that a large group's join back can be split.
     best = F.min(F.struct(-F.col("size"), F.col("id").isNull().alias("unnamed"), "id", "row"))
