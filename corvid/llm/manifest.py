@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.llm.common import crc_mod, scratch, written
@@ -167,14 +167,16 @@ def manifest(docs: DataFrame, columns: Sequence[str] = COLUMNS, group_col: str =
     climbers = nodes.where("height = base").select("tree", "block", none("long").alias("at"), "height", "parent", "place", none("binary").alias("hash")).unionAll(
         leaf.where("alone").select("tree", "block", none("long"), "height", "parent", "place", none("binary")))
     climbed = spark.sql(_CLIMB, start=leaf.drop("alone").unionAll(climbers), nodes=nodes)
-    # A leaf's rows that say something: siblings of its own, the end, and what it is.
-    own = climbed.where("at IS NOT NULL AND (node IS NULL OR length(siblings) > 0)").select(
+    # The rows that say something: siblings, a leaf's end, and what it is.  The recursion is read once, and one exchange
+    # brings a block's leaves and its climber together.
+    said = climbed.where("length(siblings) > 0 OR (at IS NOT NULL AND node IS NULL)").select(
         "tree", "block", "at", "height", F.when(F.col("node").isNull(), F.col("hash")).alias("folded"), "siblings", none(placed.schema["id"].dataType).alias("id"), none("binary").alias("digest"))
-    rows = own.unionAll(placed.select("tree", block, "at", F.lit(-1), none("binary"), none("binary"), "id", "digest")).repartition("tree", "block")
-    joined = lambda name: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("height", F.coalesce("siblings", F.lit(b"")).alias("s")))), lambda x: F.hex(x["s"])), "").alias(name)
-    proofs = rows.groupBy("tree", "block", "at").agg(joined("low"), F.max("folded").alias("folded"), F.max("id").alias("id"), F.max("digest").alias("digest"))
-    shared = climbed.where("at IS NULL").groupBy("tree", "block").agg(joined("high"))
+    rows = said.unionAll(placed.select("tree", block, "at", F.lit(-1), none("binary"), none("binary"), "id", "digest")).repartition("tree", "block")
+    siblings = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("height", F.coalesce("siblings", F.lit(b"")).alias("s")))), lambda x: F.hex(x["s"])), "")
+    each = rows.groupBy("tree", "block", "at").agg(siblings.alias("siblings"), F.max("folded").alias("folded"), F.max("id").alias("id"), F.max("digest").alias("digest"))
+    shared = F.max(F.when(F.col("at").isNull(), F.col("siblings"))).over(Window.partitionBy("tree", "block"))
+    proofs = each.withColumn("high", F.coalesce(shared, F.lit(""))).where("at IS NOT NULL")
     text = lambda c: F.lower(F.hex(c))
-    return (proofs.join(shared, ["tree", "block"]).join(written(subroots.withColumnRenamed("digest", "subroot")), "tree")
+    return (proofs.join(written(subroots.withColumnRenamed("digest", "subroot")), "tree")
             .select(F.col("id").alias(id_col), text("digest").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"),
-                    F.sha2(F.lower(F.concat("low", "high")), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified")))
+                    F.sha2(F.lower(F.concat("siblings", "high")), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified")))
