@@ -150,7 +150,7 @@ def manifest(docs: DataFrame, columns: Sequence[str] = COLUMNS, group_col: str =
         return none.where("false")
     sizes = written(_ranked(leaves.groupBy("g").agg(F.count("*").alias("leaves")), [], ["g"], "tree"))
     groups = sizes.count()
-    placed = _ranked(leaves, ["g"], ["id", "digest", "hash"], "at")
+    placed = _ranked(leaves, ["g"], ["id", "digest"], "at")
     placed = written(placed.join(sizes, placed["g"].eqNullSafe(sizes["g"])).select("tree", "at", F.col("leaves").alias("n"), "id", "digest", "hash"))
     inner, subroots = _levels(placed.select("tree", "at", "n", "digest"))
     upper, roots = _levels(subroots.select(F.lit(-1).cast("long").alias("tree"), F.col("tree").alias("at"), F.lit(groups).cast("long").alias("n"), "digest"))

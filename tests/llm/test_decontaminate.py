@@ -82,3 +82,35 @@ def test_index_finds_everything_within_the_radius(spark):
     df = spark.createDataFrame(pairs, "a long, b long")
     probe = F.array(*[F.struct(F.lit(k).alias("block"), v.alias("value")) for k, (v, _) in enumerate(d.blocks_of(F.col("a")))])
     assert df.where(F.arrays_overlap(probe, d.index_keys(F.col("b"), d.RADIUS))).count() == len(pairs)
+
+
+def test_items_that_share_a_passage_meet_few_documents(spark):
+    """10,000 items of one size that begin alike: documents with that beginning are paired by rarer shingles only."""
+    head = "all items of this set begin in just this way"
+    items = spark.range(10_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.lit(head), *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(14)]).alias("text"))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("before it"), F.lit(head), F.concat(F.lit("own"), F.col("id")), F.lit("and more words")).alias("text"))
+    docs = docs.unionAll(items.where("item_id % 2500 = 7").select(F.col("item_id") + 1000, F.concat_ws(" ", F.lit("x y"), "text", F.lit("z"))))
+    texts = d.shingled(items.select(F.col("item_id").alias("item_row"), "text")).select("item_row", F.col("grams").alias("item_grams"))
+    listed = d.rare_shingles(texts, 0.8).checkpoint()
+    assert listed.groupBy("item_row").count().agg(F.max("count")).first()[0] <= 5 and listed.count() <= 50_000
+    pairs = d.shingled(docs.select("doc_id", "text")).select("doc_id", F.explode("grams").alias("h")).join(listed, "h").select("doc_id", "item_row").distinct()
+    assert pairs.count() == 4
+    assert sorted((r["doc_id"], r["item_id"]) for r in d.contaminated(docs, items).collect()) == [(k + 1000, k) for k in (7, 2507, 5007, 7507)]
+
+
+def test_window_starts_against_plain_counting(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        n, size = rng.randint(5, 40), rng.randint(5, 25)
+        rows.append(([rng.randint(0, 6) for _ in range(n - 4)], [rng.randint(0, 5) for _ in range(size - 4)], n, size))
+    df = spark.createDataFrame(rows, "g array<long>, i array<long>, n int, size int")
+    got = df.select("*", d.window_starts(F.col("g"), F.col("i"), F.col("n"), F.col("size"), 0.8).alias("starts")).collect()
+    for r in got:
+        m, held = r["size"] - 4, Counter(r["i"])
+        for s in range(max(0, r["n"] - r["size"]) + 1):
+            window = Counter(r["g"][s:s + m])
+            both = sum((window & held).values())
+            if both / (sum(window.values()) + m - both) >= 0.8:
+                assert s in (r["starts"] or [])
+        assert all(0 <= s <= max(0, r["n"] - r["size"]) for s in r["starts"] or [])
