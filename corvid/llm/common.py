@@ -43,6 +43,17 @@ CHUNK_SCHEMA = "chunk long, body binary"
 EXCHANGE_SCHEMA = "bucket int, chunk long, body binary"
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """From now on the splits of a scan do not follow the cores that are registered when an action starts.
+
+    Left alone, Spark aims at one split per core it has at that moment, so a
+    table below ``maxPartitionBytes`` times the cores is split otherwise after
+    an executor was lost.  A setting that the caller made is kept.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              row_col: str | None = None) -> DataFrame:
     """(row, id, text) of ``docs``; NULL text is empty, other columns are dropped.
@@ -52,6 +63,7 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fewer rows than Spark's default for this session.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    pin_splits(docs.sparkSession)
     key = F.monotonically_increasing_id() if row_col is None else docs[row_col]
     return docs.select(key.cast("long").alias("row"), docs[id_col].cast("long").alias("id"),
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import stable
+from corvid.llm.common import row_keys
 
-#: Rows of intervals up to which they are broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes of intervals up to which they are broadcast; beyond, the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -67,10 +67,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     nothing; other columns are dropped.  Entries are (list, key, day, listed);
     those with a NULL are ignored.
     """
-    rows = stable(captures).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"),
-                                   F.col(fetched_col).cast("date").alias("fetched"))
+    slim = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(fetched_col).cast("date").alias("fetched"))
+    rows = row_keys(slim, "row")
     active = intervals(entries).checkpoint()
-    if active.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    held = active.agg(F.sum(F.octet_length("list") + F.octet_length("key") + F.lit(48))).first()[0] or 0
+    if held <= BROADCAST_BYTES:
         active = F.broadcast(active)
     probes = rows.select("row", "fetched", F.explode_outer(keys_of(F.col("url"))).alias("key")).where("key is not null and fetched is not null")
     hits = (probes.join(active, "key").where("since <= fetched and (until is null or fetched < until)")
