@@ -65,9 +65,10 @@ def ordered_concat(texts: DataFrame, keys: Sequence[str], order_cols: Sequence[s
     texts = texts.select(*dict.fromkeys([*keys, *order_cols, text_col, *([count_col] if count_col else [])]))
     counted = F.col(count_col or keys[0])
     of_key = lambda name: [F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)]
-    many = written(texts.groupBy(*keys).count().where(F.col("count") > rows_per_task).select(*of_key("_k"), "count"))
+    many = texts.groupBy(*keys).count().where(F.col("count") > rows_per_task).select(*of_key("_k"), "count")
     whole, out = texts, None
     if not many.isEmpty():
+        many = written(many)
         same = None
         for i, k in enumerate(keys):
             term = texts[k].eqNullSafe(many[f"_k{i}"])
