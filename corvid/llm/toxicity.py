@@ -231,19 +231,21 @@ def fit(sample: list[tuple[str, int]], n_clean: int, n_toxic: int) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", held_out: int = 2, of: int = 4, sample_docs: int = SAMPLE_DOCS) -> Model:
+          label_col: str = "toxic", held_out: int = 2, of: int = 4, sample_docs: int = SAMPLE_DOCS,
+          sample_chars: int = SAMPLE_CHARS) -> Model:
     """Model from labelled documents whose crc32(id) mod ``of`` is not ``held_out``.
 
     The fit reads at most ``sample_docs`` documents of each class (those with
-    the smallest hash of their id, of at most SAMPLE_CHARS characters); the
-    class counts cover all labelled rows.  NULL labels and ids are no labels;
+    the smallest hash of their id among texts of at most ``sample_chars``
+    characters), which bounds what reaches the driver; the class counts, which
+    set the prior, cover all labelled rows, longer texts too.  NULL labels and ids are no labels;
     of repeated labels the larger counts; of rows with one id the smallest text
     is read.
     """
     marks = (labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull())
              .groupBy(labels[id_col].cast("long").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
              .where(crc_mod(F.col("id"), of) != held_out))
-    texts = (numbered(docs, id_col, text_col).where(F.col("id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    texts = (numbered(docs, id_col, text_col).where(F.col("id").isNotNull() & (F.length("text") <= sample_chars))
              .where(crc_mod(F.col("id"), of) != held_out))
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     # Which ids: a threshold on the hash, from the class counts, then an exact top-k of ids; texts come last.
