@@ -39,7 +39,7 @@ _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 def features(word: str) -> list[int]:
     """Hashed features of a word form: a bias, the stripped lower-case form and its prefixes."""
     w = _EDGE.sub("", word.lower())
-    forms = ["", "=" + w[:64]] + [w[:k] for k in range(3, 9) if k < len(w)] + ([w] if 3 <= len(w) <= 8 else [])
+    forms = ["", "=" + w] + [w[:k] for k in range(3, 9) if k < len(w)] + ([w] if 3 <= len(w) <= 8 else [])
     return [zlib.crc32(f.encode()) % (WEIGHTS - 1) + 1 if f else 0 for f in forms]
 
 
