@@ -5,8 +5,11 @@ of hashed weights of its word form and prefixes, the transitions are one 2 x 2
 table.  Labelled tokens come from labelled documents: every token of a clean
 document is clean; a token of a toxic document is toxic if one of its features
 is strongly tied to toxic documents (a likelihood-ratio test on document
-counts).  Forward-backward marginals give toxic spans with their offsets, and
-a logistic layer over the marginals of a document gives its score.
+counts).  Emissions, transitions and the start are fitted together on the
+conditional likelihood of these labels, which is concave, until it no longer
+rises.  Forward-backward marginals give toxic spans with their offsets, and a
+logistic layer over the marginals of a document gives its score.  Very long
+texts are tagged whole.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ SAMPLE_CHARS = 20_000
 WEIGHTS = 1 << 18
 #: Likelihood ratio from which a feature marks tokens of toxic documents as toxic.
 EVIDENCE = 18.0
-#: Fitting: steps, step size, weight decay, tokens of a training sequence.
-STEPS, RATE, DECAY, SEQUENCE = 60, 0.25, 1e-5, 64
+#: Fitting: strength of the Gaussian prior on all parameters, most steps, relative gain that ends it.
+PRIOR, STEPS, GAIN = 1.0, 150, 1e-5
 #: Words a worker remembers; tokens scored at once.
 CACHE_WORDS, TOKENS_AT_ONCE = 300_000, 1_500_000
 
@@ -68,16 +71,16 @@ class Words:
         return np.repeat(np.arange(len(part)), sizes), np.array([f for x in part for f in x], np.int64)
 
 
-def chain(emission: np.ndarray, first: np.ndarray, a: np.ndarray, start: float) -> np.ndarray:
-    """Odds of label 1 for each token of consecutive documents (``first`` marks their first tokens).
+def passes(emission: np.ndarray, first: np.ndarray, a: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward odds of label 1 for each token of consecutive documents (``first`` marks their first tokens).
 
-    The forward and backward recursions are ratios of two states.  All tokens
-    are cut into equal blocks that run side by side; each block starts from its
-    predecessor's end, and passes repeat until no block's start changes.
+    The recursions are ratios of two states.  All tokens are cut into equal
+    blocks that run side by side; each block starts from its predecessor's end,
+    and passes repeat until no block's start changes.
     """
     n = len(emission)
     if not n:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     e = np.exp(np.clip(emission, -30, 30))
     width = int(np.ceil(np.sqrt(n)))
     blocks = -(-n // width)
@@ -109,7 +112,81 @@ def chain(emission: np.ndarray, first: np.ndarray, a: np.ndarray, start: float)
         return np.where(after_new[k], 1.0, (a[1, 0] + a[1, 1] * z) / (a[0, 0] + a[0, 1] * z))
 
     beta = settle(back, range(width - 1, -1, -1), lambda y: np.concatenate((y[1:], [1.0])))
-    return (alpha * beta).T.ravel()[:n]
+    return alpha.T.ravel()[:n], beta.T.ravel()[:n]
+
+
+def chain(emission: np.ndarray, first: np.ndarray, a: np.ndarray, start: float) -> np.ndarray:
+    """Marginal odds of label 1 for each token of consecutive documents."""
+    alpha, beta = passes(emission, first, a, start)
+    return alpha * beta
+
+
+class Likelihood:
+    """Minus the log-likelihood of token labels, less the log prior, with its gradient.
+
+    The parameters are one vector: a weight per feature, the logs of the four
+    transitions (from clean to clean, to toxic, from toxic to clean, to toxic)
+    and of the odds of a toxic start.  ``type_of`` and ``feature_of`` pair word
+    forms with their features, ``tokens`` are word forms.
+    """
+
+    def __init__(self, type_of, feature_of, features: int, tokens, label, first, prior: float = PRIOR):
+        self.type_of, self.feature_of, self.features, self.tokens, self.first, self.prior = type_of, feature_of, features, tokens, first, prior
+        self.label, self.types = label.astype(float), int(type_of.max()) + 1 if len(type_of) else 0
+        self.inside, self.last = ~first[1:], np.append(first[1:], True)
+        y = label.astype(int)
+        self.pairs = np.bincount(2 * y[:-1][self.inside] + y[1:][self.inside], minlength=4).astype(float)
+        self.starts = self.label[first].sum()
+        self.marked = np.bincount(tokens, self.label, self.types)
+
+    def emission(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.type_of, weights[self.feature_of], self.types)[self.tokens]
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        moves, start = theta[-5:-1], np.exp(theta[-1])
+        a, e = np.exp(moves).reshape(2, 2), self.emission(theta[:-5])
+        alpha, beta = passes(e, self.first, a, start)
+        x, z = alpha[:-1][self.inside], (np.exp(np.clip(e, -30, 30)) * beta)[1:][self.inside]
+        total = np.log(a[0, 0] + x * a[1, 0]).sum() + np.log1p(alpha[self.last]).sum()
+        value = total - self.label @ e - self.pairs @ moves - self.starts * theta[-1]
+        marginal = alpha * beta / (1 + alpha * beta)
+        both = np.stack((np.full(len(x), a[0, 0]), a[0, 1] * z, a[1, 0] * x, a[1, 1] * x * z))
+        gap = np.bincount(self.tokens, marginal, self.types) - self.marked
+        slope = np.concatenate((np.bincount(self.feature_of, gap[self.type_of], self.features),
+                                (both / both.sum(0)).sum(1) - self.pairs, [marginal[self.first].sum() - self.starts]))
+        return value + self.prior / 2 * float(theta @ theta), slope + self.prior * theta
+
+
+def minimise(f, x: np.ndarray, steps: int = STEPS, gain: float = GAIN, held: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton descent, until a step lowers ``f`` by no more than the share ``gain``."""
+    value, slope = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        way, shares = -slope, []
+        for s, y, r in reversed(past):
+            shares.append(r * (s @ way))
+            way = way - shares[-1] * y
+        if past:
+            s, y, r = past[-1]
+            way = way / (r * (y @ y))
+        for (s, y, r), share in zip(past, reversed(shares)):
+            way = way + (share - r * (y @ way)) * s
+        fall, size = way @ slope, 1.0 if past else 1 / max(1.0, np.abs(slope).sum())
+        while True:
+            ahead, slope_ahead = f(x + size * way)
+            if ahead <= value + 1e-4 * size * fall or size < 1e-12:
+                break
+            size /= 2
+        if ahead >= value:
+            break
+        s, y = size * way, slope_ahead - slope
+        if s @ y > 0:
+            past = [*past[1 - held:], (s, y, 1 / (s @ y))]
+        done = value - ahead <= gain * abs(value)
+        x, value, slope = x + s, ahead, slope_ahead
+        if done and len(past) > 1:
+            break
+    return x
 
 
 def _document_features(odds: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -199,35 +276,24 @@ def fit(sample: list[tuple[str, int]], n_clean: int, n_toxic: int) -> Model:
     marks = (ratio >= EVIDENCE) & (seen[1] / np.maximum(total, 1) > (1 + 3 * share) / (1 + 3))
     marked = np.zeros(len(words.lists), bool)
     np.logical_or.at(marked, type_of, marks[feature_of])
-    # Sequences of equal length; a padding token is its own document.
-    tokens = np.concatenate([d for d in docs]) if docs else np.zeros(0, np.int64)
-    label = np.concatenate([marked[d] & (t == 1) for d, t in zip(docs, y)]).astype(float)
+    tokens = np.concatenate(docs)
+    label = np.concatenate([marked[d] & (t == 1) for d, t in zip(docs, y)])
     ends = np.cumsum([len(d) for d in docs])
+    sizes = np.diff(ends, prepend=0)
     first = np.zeros(len(tokens), bool)
-    first[(ends - np.diff(ends, prepend=0))[np.diff(ends, prepend=0) > 0]] = True
-    first[::SEQUENCE] = True
-    inside = ~first[1:]
-    pairs = np.zeros((2, 2))
-    np.add.at(pairs, (label[:-1][inside].astype(int), label[1:][inside].astype(int)), 1)
-    a = (pairs + 1) / (pairs + 1).sum(1, keepdims=True)
-    start = (label.sum() + 1) / (len(label) - label.sum() + 1)
-    # Transitions are set by counting; the emission weights by Adam on the likelihood of the labels.
-    w, m, v = np.zeros(WEIGHTS), np.zeros(WEIGHTS), np.zeros(WEIGHTS)
-    goal = np.bincount(tokens, label, len(words.lists))
-    for k in range(1, STEPS + 1):
-        emission = np.bincount(type_of, w[feature_of], len(words.lists))
-        odds = chain(emission[tokens], first, a, start)
-        gap = np.bincount(tokens, odds / (1 + odds), len(words.lists)) - goal
-        g = np.bincount(feature_of, gap[type_of], WEIGHTS) / max(1.0, label.sum()) + DECAY * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    w = w.astype(np.float32).astype(float)
-    emission = np.bincount(type_of, w[feature_of], len(words.lists))
-    first[::SEQUENCE] = False
-    first[(ends - np.diff(ends, prepend=0))[np.diff(ends, prepend=0) > 0]] = True
-    x = _document_features(chain(emission[tokens], first, a, start), ends)
+    first[(ends - sizes)[sizes > 0]] = True
+    if not label.any():
+        return Model(np.zeros(WEIGHTS), np.full((2, 2), 0.5), 1.0, None, float(prior))
+    used, place = np.unique(feature_of, return_inverse=True)
+    likelihood = Likelihood(type_of, place, len(used), tokens, label, first)
+    theta = minimise(likelihood, np.zeros(len(used) + 5))
+    w = np.zeros(WEIGHTS, np.float32)
+    w[used] = theta[:-5]
+    a, start = np.exp(theta[-5:-1]).reshape(2, 2), float(np.exp(theta[-1]))
+    emission = likelihood.emission(w[used].astype(float))
+    x = _document_features(chain(emission, first, a, start), ends)
     weight = np.where(y == 1, n_toxic / y.sum(), n_clean / (len(y) - y.sum()))
-    return Model(w.astype(np.float32), a, start, _logistic(x, y, weight / weight.mean()), float(prior))
+    return Model(w, a, start, _logistic(x, y, weight / weight.mean()), float(prior))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -29,6 +29,58 @@ def test_marginals_against_enumeration():
     assert np.allclose(toxicity.chain(e, first, a, start), want)
 
 
+def tiny(seed=3):
+    """A likelihood over six short sequences, and the same one by enumeration of all labellings."""
+    rng = np.random.default_rng(seed)
+    features = [[0, 1], [0, 2], [0, 1, 3], [0, 4]]
+    type_of, feature_of = np.repeat(np.arange(4), [len(f) for f in features]), np.array([f for fs in features for f in fs])
+    seqs = [(rng.integers(0, 4, n), rng.integers(0, 2, n)) for n in (1, 4, 6, 2, 5, 3)]
+    tokens, label = (np.concatenate([s[k] for s in seqs]) for k in (0, 1))
+    first = np.concatenate([[True] + [False] * (len(t) - 1) for t, _ in seqs])
+
+    def listed(theta):
+        a, start, total = theta[-5:-1].reshape(2, 2), theta[-1], 0.0
+        for types, given in seqs:
+            e = [sum(theta[f] for f in features[t]) for t in types]
+            def log_mass(ys):
+                return (start if ys[0] else 0) + sum(a[i, j] for i, j in zip(ys, ys[1:])) + sum(x for x, y in zip(e, ys) if y)
+            total += np.logaddexp.reduce([log_mass(ys) for ys in itertools.product((0, 1), repeat=len(types))]) - log_mass(given.tolist())
+        return total + 0.5 * theta @ theta
+
+    return toxicity.Likelihood(type_of, feature_of, 5, tokens, label, first, prior=1.0), listed
+
+
+def test_likelihood_and_gradient_against_enumeration():
+    likelihood, listed = tiny()
+    theta = np.random.default_rng(1).normal(0, 1, 10)
+    value, slope = likelihood(theta)
+    step = 1e-5 * np.eye(10)
+    assert np.isclose(value, listed(theta))
+    assert np.allclose(slope, [(listed(theta + d) - listed(theta - d)) / 2e-5 for d in step], atol=1e-6)
+
+
+def test_fit_against_plain_descent():
+    likelihood, listed = tiny()
+    got = toxicity.minimise(likelihood, np.zeros(10), gain=1e-14)
+    # The enumerated likelihood has curvature of at least the prior's, so short plain steps reach its only minimum.
+    plain = np.zeros(10)
+    for _ in range(400):
+        plain -= 0.05 * np.array([(listed(plain + d) - listed(plain - d)) / 2e-5 for d in 1e-5 * np.eye(10)])
+    assert np.allclose(got, plain, atol=1e-4) and abs(got[-5:]).max() > 0.05
+    assert np.isclose(listed(got), listed(plain))
+
+
+def test_transitions_are_learnt():
+    # Labels come in long stretches whatever the words are: only transitions can tell.
+    rng = np.random.default_rng(0)
+    label = np.repeat(rng.integers(0, 2, 200), 20)
+    first = np.zeros(len(label), bool)
+    first[::400] = True
+    likelihood = toxicity.Likelihood(np.zeros(1, int), np.zeros(1, int), 1, np.zeros(len(label), int), label, first)
+    stay = toxicity.minimise(likelihood, np.zeros(6))[-5:-1]
+    assert stay[0] + stay[3] - stay[1] - stay[2] > 4
+
+
 def test_held_out_accuracy_and_no_leak(spark):
     rows = op6_toxicity(spark, D).collect()
     docs = spark.read.parquet(f"{D}/documents.parquet")
@@ -61,3 +113,9 @@ def test_repeated_ids_bring_one_text_each(spark, monkeypatch):
     toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int"))
     ids = [k for k in range(4) if zlib.crc32(str(k).encode()) % 4 != 2]
     assert ids and seen == [(f"text {k:03}", k % 2) for k in ids]
+
+
+def test_ties_and_no_evidence():
+    # Equal texts with either label: no feature is tied to a class, so the prior is all that is left.
+    model = toxicity.fit([("same words here", 1), ("same words here", 0)] * 5, 5, 5)
+    assert model.score(["same words here", ""], {})[0].tolist() == [0.5, 0.5]
