@@ -33,6 +33,8 @@ WEIGHTS = 1 << 18
 EVIDENCE = 18.0
 #: Fitting: strength of the Gaussian prior on all parameters, most steps, relative gain that ends it.
 PRIOR, STEPS, GAIN = 1.0, 150, 1e-5
+#: Tokens of the whole documents that the fit looks at together, which bounds its memory.
+SLAB = 200_000
 #: Words a worker remembers; tokens scored at once.
 CACHE_WORDS, TOKENS_AT_ONCE = 300_000, 1_500_000
 
@@ -132,29 +134,42 @@ class Likelihood:
 
     def __init__(self, type_of, feature_of, features: int, tokens, label, first, prior: float = PRIOR):
         self.type_of, self.feature_of, self.features, self.tokens, self.first, self.prior = type_of, feature_of, features, tokens, first, prior
-        self.label, self.types = label.astype(float), int(type_of.max()) + 1 if len(type_of) else 0
-        self.inside, self.last = ~first[1:], np.append(first[1:], True)
-        y = label.astype(int)
-        self.pairs = np.bincount(2 * y[:-1][self.inside] + y[1:][self.inside], minlength=4).astype(float)
-        self.starts = self.label[first].sum()
-        self.marked = np.bincount(tokens, self.label, self.types)
-
-    def emission(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.type_of, weights[self.feature_of], self.types)[self.tokens]
+        self.types = int(type_of.max()) + 1 if len(type_of) else 0
+        both = (2 * label[:-1].astype(np.int8) + label[1:].astype(np.int8))[~first[1:]]
+        self.pairs = np.bincount(both, minlength=4).astype(float)
+        self.starts = float(label[first].sum())
+        self.marked = np.bincount(tokens, label, self.types)
+        begins = np.append(np.flatnonzero(first), len(tokens))
+        edges = np.unique(np.append(begins[np.searchsorted(begins, np.arange(0, len(tokens), SLAB))], len(tokens)))
+        self.slabs = [slice(i, j) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+    def by_type(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.type_of, weights[self.feature_of], self.types)
+
+    def odds(self, weights: np.ndarray, a: np.ndarray, start: float) -> np.ndarray:
+        """Marginal odds of all tokens."""
+        emission = self.by_type(weights)
+        return np.concatenate([chain(emission[self.tokens[k]], self.first[k], a, start) for k in self.slabs])
 
     def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
         moves, start = theta[-5:-1], np.exp(theta[-1])
-        a, e = np.exp(moves).reshape(2, 2), self.emission(theta[:-5])
-        alpha, beta = passes(e, self.first, a, start)
-        x, z = alpha[:-1][self.inside], (np.exp(np.clip(e, -30, 30)) * beta)[1:][self.inside]
-        total = np.log(a[0, 0] + x * a[1, 0]).sum() + np.log1p(alpha[self.last]).sum()
-        value = total - self.label @ e - self.pairs @ moves - self.starts * theta[-1]
-        marginal = alpha * beta / (1 + alpha * beta)
-        both = np.stack((np.full(len(x), a[0, 0]), a[0, 1] * z, a[1, 0] * x, a[1, 1] * x * z))
-        gap = np.bincount(self.tokens, marginal, self.types) - self.marked
-        slope = np.concatenate((np.bincount(self.feature_of, gap[self.type_of], self.features),
-                                (both / both.sum(0)).sum(1) - self.pairs, [marginal[self.first].sum() - self.starts]))
-        return value + self.prior / 2 * float(theta @ theta), slope + self.prior * theta
+        a, emission = np.exp(moves).reshape(2, 2), self.by_type(theta[:-5])
+        value = -(self.marked @ emission + self.pairs @ moves + self.starts * theta[-1])
+        gap, pairs, starts = -self.marked, -self.pairs, -self.starts
+        for k in self.slabs:
+            tokens, first = self.tokens[k], self.first[k]
+            e, inside, last = emission[tokens], ~first[1:], np.append(first[1:], True)
+            alpha, beta = passes(e, first, a, start)
+            x, z = alpha[:-1][inside], (np.exp(np.clip(e, -30, 30)) * beta)[1:][inside]
+            value += np.log(a[0, 0] + x * a[1, 0]).sum() + np.log1p(alpha[last]).sum()
+            mass = a[0, 0] + a[0, 1] * z + x * (a[1, 0] + a[1, 1] * z)
+            pairs = pairs + [(a[0, 0] / mass).sum(), a[0, 1] * (z / mass).sum(), a[1, 0] * (x / mass).sum(), a[1, 1] * (x * z / mass).sum()]
+            marginal = alpha * beta
+            marginal /= 1 + marginal
+            gap = gap + np.bincount(tokens, marginal, self.types)
+            starts += marginal[first].sum()
+        slope = np.concatenate((np.bincount(self.feature_of, gap[self.type_of], self.features), pairs, [starts]))
+        return float(value + self.prior / 2 * (theta @ theta)), slope + self.prior * theta
 
 
 def minimise(f, x: np.ndarray, steps: int = STEPS, gain: float = GAIN, held: int = 8) -> np.ndarray:
@@ -276,7 +291,7 @@ def fit(sample: list[tuple[str, int]], n_clean: int, n_toxic: int) -> Model:
     marks = (ratio >= EVIDENCE) & (seen[1] / np.maximum(total, 1) > (1 + 3 * share) / (1 + 3))
     marked = np.zeros(len(words.lists), bool)
     np.logical_or.at(marked, type_of, marks[feature_of])
-    tokens = np.concatenate(docs)
+    tokens = np.concatenate(docs).astype(np.int32)
     label = np.concatenate([marked[d] & (t == 1) for d, t in zip(docs, y)])
     ends = np.cumsum([len(d) for d in docs])
     sizes = np.diff(ends, prepend=0)
@@ -290,8 +305,7 @@ def fit(sample: list[tuple[str, int]], n_clean: int, n_toxic: int) -> Model:
     w = np.zeros(WEIGHTS, np.float32)
     w[used] = theta[:-5]
     a, start = np.exp(theta[-5:-1]).reshape(2, 2), float(np.exp(theta[-1]))
-    emission = likelihood.emission(w[used].astype(float))
-    x = _document_features(chain(emission, first, a, start), ends)
+    x = _document_features(likelihood.odds(w[used].astype(float), a, start), ends)
     weight = np.where(y == 1, n_toxic / y.sum(), n_clean / (len(y) - y.sum()))
     return Model(w, a, start, _logistic(x, y, weight / weight.mean()), float(prior))
 

@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 
 from corvid.llm import toxicity
 from corvid.llm.q_filters import op6_toxicity
@@ -50,7 +51,9 @@ def tiny(seed=3):
     return toxicity.Likelihood(type_of, feature_of, 5, tokens, label, first, prior=1.0), listed
 
 
-def test_likelihood_and_gradient_against_enumeration():
+@pytest.mark.parametrize("slab", [1, 5, 1000])
+def test_likelihood_and_gradient_against_enumeration(monkeypatch, slab):
+    monkeypatch.setattr(toxicity, "SLAB", slab)
     likelihood, listed = tiny()
     theta = np.random.default_rng(1).normal(0, 1, 10)
     value, slope = likelihood(theta)
