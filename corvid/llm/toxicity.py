@@ -274,10 +274,12 @@ def fit(sample: list[tuple[str, int]], n_clean: int, n_toxic: int) -> Model:
     words = Words()
     docs = [words(t.split()) for t, _ in sample]
     type_of, feature_of = words.flat()
+    types = len(words.lists)
+    del words
     # Documents of each class that hold a feature.
     by_type = np.argsort(type_of, kind="stable")
     type_of, feature_of = type_of[by_type], feature_of[by_type]
-    at = np.searchsorted(type_of, np.arange(len(words.lists) + 1))
+    at = np.searchsorted(type_of, np.arange(types + 1))
     seen = np.zeros((2, WEIGHTS))
     for d, label in zip(docs, y):
         own = np.unique(d)
@@ -289,12 +291,13 @@ def fit(sample: list[tuple[str, int]], n_clean: int, n_toxic: int) -> Model:
         ratio = 2 * (np.where(seen[1] > 0, seen[1] * np.log(seen[1] / (total * share)), 0)
                      + np.where(seen[0] > 0, seen[0] * np.log(seen[0] / (total * (1 - share))), 0))
     marks = (ratio >= EVIDENCE) & (seen[1] / np.maximum(total, 1) > (1 + 3 * share) / (1 + 3))
-    marked = np.zeros(len(words.lists), bool)
+    marked = np.zeros(types, bool)
     np.logical_or.at(marked, type_of, marks[feature_of])
     tokens = np.concatenate(docs).astype(np.int32)
     label = np.concatenate([marked[d] & (t == 1) for d, t in zip(docs, y)])
     ends = np.cumsum([len(d) for d in docs])
     sizes = np.diff(ends, prepend=0)
+    del docs
     first = np.zeros(len(tokens), bool)
     first[(ends - sizes)[sizes > 0]] = True
     if not label.any():
