@@ -111,3 +111,35 @@ def test_spread_by_splits_that_hold_rows(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sorted(r.id for r in spread_for_cpu(one).collect()) == list(range(100))
+
+
+def test_one_row_group_is_dealt_out_however_many_splits_are_planned(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(400_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("t")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        scan = read_parquet(spark, str(tmp_path / "one"))
+        planned = scan.rdd.getNumPartitions()
+        assert planned > 2 * cores and scan.select(F.spark_partition_id()).distinct().count() == 1
+        dealt = spread_for_cpu(scan)
+        assert dealt.rdd.getNumPartitions() == planned
+        assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 2 * 400_000 / planned
+        assert dealt.agg(F.count("id"), F.sum("id")).first() == (400_000, 400_000 * 399_999 // 2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_month_of_most_rows_is_written_by_several_tasks(spark, tmp_path):
+    from corvid.plans.q_sources import latest_partition_q
+    day = F.when(F.col("id") < 10, F.lit("2023-12-31 10:00:00")).otherwise(F.lit("2024-01-05 11:00:00"))
+    (spark.range(30_000).select(F.col("id").alias("event_id"), day.cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).alias("user_id"), F.sha2(F.col("id").cast("string"), 256).alias("event_type"))
+     .repartition(8).write.parquet(str(tmp_path / "events.parquet")))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        out = latest_partition_q(spark, str(tmp_path))
+        assert out.count() == 29_990 and out.select("load_date").distinct().first()[0] == "202401"
+        assert out.select(F.input_file_name()).distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
