@@ -7,8 +7,9 @@ matches rewritten in forms that the exact patterns miss (positives) and from
 the wide proposals that overlap no checked match.  These are unlabelled: some
 are the near forms sought.  A first fit takes them all as negatives; those it
 scores like known forms are then set aside, and the second fit and the
-thresholds use the others.  Per kind, the threshold is the lowest at which the
-calibration half of the sample, weighted to the counts of all, reaches the
+thresholds use the others.  Every proposal counts: distinct ones (with context)
+are weighted by their number, half of them fit the trees, half calibrate.  Per
+kind, the threshold is the lowest at which the calibration half reaches the
 wanted precision.
 
 DataFrame functions only; spans come from a pattern's matches and the lengths
@@ -17,6 +18,8 @@ of the pieces between them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -35,8 +38,8 @@ EXACT = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {"at": r"(?<![^\s@])[^\s@]++@[^\s@]++", "digits": r"[0-9](?:[\x20().+/-]{0,2}+[0-9])++"}
-#: Proposals of each label that the trees are fitted and calibrated on at most, wanted precision, and trees.
-SAMPLE, PRECISION, TREES = 10_000, 0.99, 10
+#: Wanted precision, and trees.
+PRECISION, TREES = 0.99, 10
 #: Share of the known forms that the first fit may score below an unlabelled proposal that is set aside.
 ALIKE = 0.01
 CONTEXT = 16
@@ -116,9 +119,15 @@ def _scored(spans: DataFrame, model) -> DataFrame:
     return model.transform(vectors).withColumn("p", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
 
 
+def _bins(n: int) -> int:
+    """Bins with which MLlib takes the cuts of ``n`` rows from all of them: it reads at most the square of the bins, and 10,000 at least."""
+    return min(max(32, math.isqrt(max(n - 1, 0)) + 1), 46_000)
+
+
 def _boosted(part: DataFrame, trees: int):
     fit = VectorAssembler(inputCols=_features(part), outputCol="x").transform(part.withColumn("label", F.col("y").cast("double")))
-    return GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", maxIter=trees, maxDepth=4, seed=7, checkpointInterval=-1).fit(fit.select("x", "label", "w").coalesce(4))
+    return GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", maxIter=trees, maxDepth=4, maxBins=_bins(part.count()), seed=7,
+                         checkpointInterval=-1).fit(fit.select("x", "label", "w"))
 
 
 def near_forms(checked: DataFrame) -> DataFrame:
@@ -141,27 +150,24 @@ def near_forms(checked: DataFrame) -> DataFrame:
     return out.where((F.col("gen") == "at") | (F.length(_digits(F.col("match"))) >= 7)).withColumn("kind", _kind())
 
 
-def _fit(wide: DataFrame, known: DataFrame, sample: int, trees: int, precision: float):
+def _fit(wide: DataFrame, known: DataFrame, trees: int, precision: float):
     """(model, {kind: threshold}) from wide proposals and known forms, or None if one is missing.
 
-    At most ``sample`` distinct proposals (with context) of each, those of
-    smallest hash, take part, weighted to the count of all; half fit the
-    trees, half calibrate.
+    All distinct proposals (with context) of both take part, weighted by
+    their number; by their hash, half fit the trees, half calibrate.
     """
     part = None
     for y, spans in enumerate((wide, known)):
-        forms = spans.groupBy("kind", "match", "before", "after").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("match", "before", "after")).checkpoint()
-        some = forms.orderBy("h", "kind", "match", "before", "after").limit(sample).checkpoint()
-        all_, held = (x.agg(F.sum("n")).first()[0] for x in (forms, some))
-        some = some.withColumn("y", F.lit(y)).withColumn("w", F.col("n") * F.lit((all_ or 0) / (held or 1)))
-        part = some if part is None else part.unionAll(some)
+        forms = spans.groupBy("kind", "match", "before", "after").agg(F.count("*").alias("w"))
+        forms = forms.withColumn("h", F.xxhash64("match", "before", "after")).withColumn("y", F.lit(y))
+        part = forms if part is None else part.unionAll(forms)
     part = featured(part).withColumn("half", F.pmod("h", F.lit(2))).checkpoint()
     seen = {(r["half"], r["y"]) for r in part.select("half", "y").distinct().collect()}
     if len(seen) < 4:
         return None
     # Unlabelled proposals that score like known forms are no negatives.
     scored = _scored(part, _boosted(part.where("half = 0"), trees))
-    low = {r["kind"]: r["p"] for r in scored.where("y = 1").groupBy("kind").agg(F.percentile_approx("p", ALIKE).alias("p")).collect()}
+    low = {r["kind"]: r["p"] for r in scored.where("y = 1").groupBy("kind").agg(F.expr(f"percentile_disc({ALIKE}) WITHIN GROUP (ORDER BY p)").alias("p")).collect()}
     least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in low.items()], F.lit(2.0))
     sure = scored.where((F.col("y") == 1) | (F.col("p") < least)).drop("p").checkpoint()
     if {(r["half"], r["y"]) for r in sure.select("half", "y").distinct().collect()} != seen:
@@ -193,7 +199,7 @@ def first_of_overlaps(spans: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
-             sample: int = SAMPLE, trees: int = TREES, precision: float = PRECISION) -> DataFrame:
+             trees: int = TREES, precision: float = PRECISION) -> DataFrame:
     """Spans of personal data in every whole text.
 
     Returns one row per input row: (row_col,) the id, n_email, n_ip, n_card
@@ -202,7 +208,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     points, end exclusive) and spans, the same list with what the trees add.
     An addition never overlaps a checked match; of additions that overlap, the
     first stays.  NULL and empty texts have no spans; NULL and repeated ids and
-    repeated rows are rows of their own; without both labels in the sample
+    repeated rows are rows of their own; without both labels in each half
     nothing is added; an empty table gives no row; other columns are dropped.
     """
     rows = numbered_once(docs, id_col, text_col, row_col)
@@ -215,7 +221,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
             .withColumn("y", (F.coalesce(F.col("last") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))).cast("int")))
     wide = near.where(~F.col("base") & (F.col("y") == 0)).checkpoint()
     spans = found.where("base").select("row", "kind", "start", "end", "base")
-    fitted = _fit(wide, near_forms(found.where("base")), sample, trees, precision)
+    fitted = _fit(wide, near_forms(found.where("base")), trees, precision)
     if fitted and fitted[1]:
         model, cut = fitted
         least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in cut.items()], F.lit(2.0))

@@ -3,7 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from corvid.llm import pii
 from corvid.llm.pii import find_pii, first_of_overlaps
 from corvid.llm.q_filters import op3_pii_boosting
 
@@ -116,3 +118,20 @@ def test_near_forms_that_are_no_longer_rare(spark):
     wrong = [k for k, t in texts if k not in planted and k % 100 >= 6 and got[k]]
     assert len(wrong) <= 0.01 * len(texts)
     assert all(got[k].count(":") == 2 for k, _ in texts if 3 <= k % 100 < 6)
+
+
+def test_every_form_takes_part_in_the_fit(spark, monkeypatch):
+    """More distinct forms than MLlib samples from, or any bound: all are given to the first fit or calibrate."""
+    texts = spark.range(12_000).selectExpr("id AS doc_id", "concat('call +1 (555) ', 100 + id div 7000, '-', lpad(id, 5, '0'), ' today, part 20', lpad(id, 5, '0'), '-0', id % 9 + 1, '-1x') AS text")
+    given, real = [], pii._boosted
+    monkeypatch.setattr(pii, "_boosted", lambda part, trees: given.append({r["y"]: (r["n"], r["w"]) for r in part.groupBy("y").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()}) or real(part, trees))
+    halves = []
+    scored = pii._scored
+    monkeypatch.setattr(pii, "_scored", lambda spans, model: halves.append(spans.count()) or scored(spans, model))
+    assert find_pii(texts, trees=2).count() == 12_000
+    assert halves[0] == 24_000 and all(5_500 < n < 6_500 and w == n for n, w in given[0].values())
+
+
+def test_cuts_come_from_all_rows():
+    for n in (1, 10_000, 10_001, 1_000_000, 123_456_789):
+        assert max(pii._bins(n) ** 2, 10_000) >= n and pii._bins(n) >= 32
