@@ -199,3 +199,50 @@ def test_boosting_edges(spark):
     assert all(r["margin"] > 0 for r in bo.boost(df, bo.preset(bo.HISTOGRAM, rounds=2))[0].collect())
     assert bo.boost(df.limit(0), p)[0].collect() == []
     assert {r["margin"] for r in bo.boost(df.withColumn("train", F.lit(False)), p)[0].collect()} == {0.0}
+
+
+# -- boosting in passes over blocks ---------------------------------------------------
+
+def trees_of(forest):
+    return [{m: (t.cuts, t.values) for m, t in trees.items()} for trees in forest]
+
+
+def test_leaves_are_counted_a_level_at_a_time(spark, monkeypatch):
+    """A leaf-wise tree is grown in as many passes as it is deep, not one a leaf."""
+    x, y = data(3000, 4, 3)
+    df = frame(spark, x, y).withColumn("m", F.lit(0)).withColumn("train", F.lit(True))
+    p = bo.preset(bo.LEAF_WISE, rounds=2)
+    passes, count = [], bo._histograms
+    monkeypatch.setattr(bo, "_histograms", lambda *a, **kw: passes.append(1) or count(*a, **kw))
+    _, forest = bo.boost(df, p)
+
+    def depth(cuts, node=1):
+        return max((1 + max(depth(cuts, c.left), depth(cuts, c.right)) for c in cuts if c.node == node), default=0)
+    assert all(len(t[0].values) == 31 and len(t[0].cuts) == 30 for t in forest)
+    assert len(passes) < 2 * 20 and max(depth(t[0].cuts) for t in forest) < 20
+
+
+def test_rows_for_several_models_are_the_rows_of_each(spark, monkeypatch):
+    x, y = data(400, 3, 5)
+    x[::7, 1] = np.nan
+    df = frame(spark, x, y).withColumn("fold", (F.col("id") % 3).cast("int"))
+    p = bo.preset(bo.LEAF_WISE, rounds=3, max_leaves=7, min_rows=5, max_bins=20)
+    models = F.sequence(F.lit(0), F.lit(2))
+    apart = df.select(F.explode(models).alias("m"), "*").withColumn("train", F.col("m") != F.col("fold"))
+    want, trees = bo.boost(apart, p)
+    want = sorted(map(tuple, want.collect()))
+    together = df.select(models.alias("ms"), F.transform(models, lambda m: m != F.col("fold")).alias("trains"), "id", "y", "x").repartition(4).cache()
+    assert len(want) == 1200
+    for rows, gathered, kept in ((1 << 16, 32 << 20, 20), (37, 0, 1)):   # small blocks, sums added up in a shuffle, every round checkpointed
+        monkeypatch.setattr(bo, "MOST_ROWS", rows)
+        monkeypatch.setattr(bo, "GATHERED", gathered)
+        monkeypatch.setattr(bo, "KEPT_ROUNDS", kept)
+        got, forest = bo.boost_together(together, p)
+        assert sorted(map(tuple, got.collect())) == want and trees_of(forest) == trees_of(trees)
+
+
+def test_boosting_keeps_null_ids(spark):
+    x, y = data(60, 3, 2)
+    df = frame(spark, x, y).select(F.lit(1).alias("m"), F.when(F.col("id") > 9, F.col("id")).alias("id"), (F.col("id") % 2 == 0).alias("train"), "y", "x")
+    got = bo.boost(df, bo.preset(bo.HISTOGRAM, rounds=1, min_rows=2))[0].collect()
+    assert sorted(r["id"] or 0 for r in got) == [0] * 10 + list(range(10, 60)) and sum(r["id"] is None for r in got) == 10
